@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from loomgraph.llm.mixing import OP8_SQL, op8_source_mix
+from loomgraph.llm.near_dedup import op4_minhash_near_dedup
+from loomgraph.llm.quality import op1_quality_classifier
 from loomgraph.llm.secrets import op3_secret_scan
 from loomgraph.llm.url_filter import OP2_SQL, op2_url_filter
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_url_filter": op2_url_filter,
     "op3_secret_scan": op3_secret_scan,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op8_source_mix": op8_source_mix,
 }
 
