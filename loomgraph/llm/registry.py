@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from loomgraph.llm.ann import op10_ann
 from loomgraph.llm.mixing import OP8_SQL, op8_source_mix
 from loomgraph.llm.near_dedup import op4_minhash_near_dedup
 from loomgraph.llm.quality import op1_quality_classifier
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op8_source_mix": op8_source_mix,
+    "op10_ann": op10_ann,
 }
 
 ORACLE_SQL = {
