@@ -10,9 +10,11 @@
 3. Proposed pairs whose sketches can't reach the threshold fall out. The others are
    verified on full sets, each pair once, by units of up to ``UNIT`` nodes, so that a
    set travels once a unit and not once a pair.
-4. Components of the verified links. Where a region was too large for all its pairs,
-   its pairs between different components are then proposed and verified as well, in
-   blocks, so that no link between two texts of a region is lost.
+4. Components of the verified links. Nodes of regions that were too large for all
+   their pairs are then sorted in ``MORE`` further orders of their signature values, and
+   what these propose between different components is verified as well. A link at the
+   threshold in a large region is proposed in an order with probability 0.27 or more, so
+   all 56 orders miss it with probability 2e-8; work stays linear in the region's size.
 """
 
 from __future__ import annotations
@@ -31,8 +33,9 @@ from loomgraph.llm.store import Scratch
 #: A pair at similarity 0.85 shares no root in any tree with probability (1 - 0.85^3)^14 = 2e-6.
 TREES, DEPTH, ROOT = 14, 8, 3
 LEAF, UNIT, NEXT = 24, 256, 4
-#: Rows of one region held at a time in step 2, and nodes of a block in step 4.
-HELD, BLOCK = 1 << 16, 2048
+MORE = 42
+#: Rows of one region held at a time.
+HELD = 1 << 16
 #: Two bits of each signature value go into the sketch: 112 values in 28 bytes.
 SKETCH = TREES * DEPTH // 4
 NO_ID = (1 << 63) - 1
@@ -63,15 +66,15 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Region:
     """Nodes of one tree that share the first ROOT values, sorted by the rest of their sequence."""
 
-    def __init__(self, tree: int, root: bytes, node: np.ndarray, n: np.ndarray, rest: np.ndarray, sketch: np.ndarray, least: float) -> None:
-        self.tree, self.root, self.node, self.n, self.rest, self.sketch, self.least = tree, root, node, n, rest, sketch, least
+    def __init__(self, tree: int, root: bytes, node: np.ndarray, n: np.ndarray, rest: np.ndarray, sketch: np.ndarray, component: np.ndarray, least: float) -> None:
+        self.tree, self.root, self.node, self.n, self.rest, self.sketch, self.component, self.least = tree, root, node, n, rest, sketch, component, least
         self.found: list[tuple[np.ndarray, np.ndarray, int]] = []
         self.units = 0
 
     def propose(self, i: np.ndarray, j: np.ndarray) -> None:
         """Pairs of one unit that the sketches and sizes allow."""
         small, big = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
-        ok = small >= self.least * big - 1e-9
+        ok = (small >= self.least * big - 1e-9) & (self.component[i] != self.component[j])
         i, j = i[ok], j[ok]
         if len(i):
             ok = possible(self.sketch[i], self.sketch[j], self.least)
@@ -119,13 +122,17 @@ def possible(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
 
 
 def _proposer(least: float):
+    """What turns sorted rows of regions into pairs (a, b, unit); a node of a large region is also paired with itself."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, parts, held = None, [], 0
 
         def flush() -> pa.RecordBatch | None:
-            node, n, rest, sketch = (np.concatenate(x) for x in zip(*parts, strict=True))
-            region = _Region(key[0], key[1], node, n, rest, sketch, least)
+            node, n, rest, sketch, component = (np.concatenate(x) for x in zip(*parts, strict=True))
+            region = _Region(key[0], key[1], node, n, rest, sketch, component, least)
             region.split()
+            if len(node) > LEAF:
+                region.found.append((np.arange(len(node)), np.arange(len(node)), 0))
             if not region.found:
                 return None
             i, j = (np.concatenate([f[k] for f in region.found]) for k in (0, 1))
@@ -143,7 +150,7 @@ def _proposer(least: float):
             tree, root = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             node, n = batch.column(3).to_numpy(), batch.column(4).to_numpy()
             rest = np.frombuffer(b"".join(batch.column(2).to_pylist()), ">u4").reshape(len(tree), -1)
-            sketch = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(len(tree), -1)
+            sketch, component = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(len(tree), -1), batch.column(6).to_numpy()
             cuts = [0, *(i for i in range(1, len(root)) if root[i] != root[i - 1] or tree[i] != tree[i - 1]), len(root)]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 new = (int(tree[lo]), root[lo])
@@ -154,7 +161,7 @@ def _proposer(least: float):
                     # The leader of a region that is cut goes on to its next part.
                     parts = [tuple(x[:1] for x in parts[0])] if new == key else []
                     key, held = new, 0
-                parts.append((node[lo:hi], n[lo:hi], rest[lo:hi], sketch[lo:hi]))
+                parts.append((node[lo:hi], n[lo:hi], rest[lo:hi], sketch[lo:hi], component[lo:hi]))
                 held += hi - lo
         if parts and (out := flush()):
             yield out
@@ -218,45 +225,30 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return texts.join(sent, "node").select("unit", "node", "text", "others").repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(_verifier(percent), "a long, b long")
 
 
-def _block_proposer(least: float):
-    """Rows of one block pair to its possible pairs between different components."""
+_REGIONS = "tree int, root binary, rest binary, node long, n_shingles int, sketch binary, component long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(rows)
-            node, comp, n, block = (table.column(c).to_numpy() for c in ("node", "component", "n_shingles", "block"))
-            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
-            tree, _, i, j = key
-            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            units = 0
-            for x in left:
-                y = right if i != j else right[right > x]
-                y = y[comp[y] != comp[x]]
-                y = y[np.minimum(n[y], n[x]) >= least * np.maximum(n[y], n[x]) - 1e-9]
-                y = y[possible(sketch[y], sketch[x : x + 1], least)] if len(y) else y
-                for at in range(0, len(y), UNIT - 1):
-                    own = y[at : at + UNIT - 1]
-                    unit = int(K.mix(np.array([hash((int(node[x]), tree, i, j, at)) & (2**64 - 1)], K.U64)).view(np.int64)[0])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[own])), pa.array(np.maximum(node[x], node[own])), pa.array(np.full(len(own), unit))], ["a", "b", "unit"])
-                units += 1
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("tree", "root", "i", "j")), strict=True))
-            cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if keys[lo] != key and rows:
-                    yield from flush()
-                    rows = []
-                key = keys[lo]
-                rows.append(batch.slice(lo, hi - lo))
-        if rows:
-            yield from flush()
+def _more_orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node's row in MORE further orders: DEPTH values of its signature, drawn without repetition."""
+    random = np.random.default_rng(47)
+    orders = [random.permutation(TREES * DEPTH)[:DEPTH] for _ in range(MORE)]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sig = np.frombuffer(b"".join(batch.column("trees").to_pylist()), ">u4").reshape(batch.num_rows, -1)
+        rest = [batch.column(c) for c in ("node", "n_shingles", "sketch", "component")]
+        for tree, order in enumerate(orders):
+            own = np.ascontiguousarray(sig[:, order])
+            root, tail = (pa.array([x.tobytes() for x in part], pa.binary()) for part in (own[:, :ROOT], own[:, ROOT:]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), tree, np.int32)), root, tail, *rest], ["tree", "root", "rest", "node", "n_shingles", "sketch", "component"])
+
+
+def _proposed(regions: DataFrame, least: float) -> DataFrame:
+    return regions.repartition("tree", "root").sortWithinPartitions("tree", "root", "rest", "node").mapInArrow(_proposer(least), "a long, b long, unit long")
 
-    return run
+
+def _once(proposed: DataFrame) -> DataFrame:
+    return proposed.filter("a <> b").groupBy("a", "b").agg(F.min("unit").alias("unit"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
@@ -283,17 +275,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return F.substring(F.col("trees"), tree * (4 * DEPTH) + 4 * lo + 1, F.lit(4 * (hi - lo)))
 
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    regions = nodes.select(tree, "*").select("tree", values(F.col("tree"), 0, ROOT).alias("root"), values(F.col("tree"), ROOT, DEPTH).alias("rest"), "node", "n_shingles", "sketch")
-    # Regions of one node, which most are, fall out by a count that is summed before it is sent.
-    dealt = regions.repartition("tree", "root").sortWithinPartitions("tree", "root", "rest", "node")
-    proposed = dealt.mapInArrow(_proposer(percent / 100), "a long, b long, unit long")
-    pairs = scratch.keep(proposed.filter("a <> b").groupBy("a", "b").agg(F.min("unit").alias("unit")), "pairs")
+    regions = nodes.select(tree, "*").select("tree", values(F.col("tree"), 0, ROOT).alias("root"), values(F.col("tree"), ROOT, DEPTH).alias("rest"), "node", F.col("n_shingles").cast("int"), "sketch", F.col("node").alias("component"))
+    proposed = scratch.keep(_proposed(regions, percent / 100), "proposed")
     texts = rows.select(F.col("doc_id").alias("node"), "text")
-    links = scratch.keep(_verified(pairs, texts, percent), "links")
+    links = scratch.keep(_verified(_once(proposed), texts, percent), "links")
     known = connected_components(links, scratch, "first")
-    more = _rest(scratch, regions, known, percent)
-    if more is not None:
-        known = connected_components(links.union(scratch.keep(_verified(more, texts, percent), "more-links")), scratch, "second")
+    dense = proposed.filter("a = b").select(F.col("a").alias("node")).distinct()
+    if not dense.isEmpty():
+        rows_again = nodes.join(dense, "node", "left_semi").join(known, "node", "left").select("node", F.col("n_shingles").cast("int"), "sketch", "trees", F.coalesce("component", "node").alias("component"))
+        again = scratch.keep(_once(_proposed(rows_again.mapInArrow(_more_orders, _REGIONS), percent / 100)), "again")
+        if not again.isEmpty():
+            known = connected_components(links.union(scratch.keep(_verified(again, texts, percent), "more-links")), scratch, "second")
     of_class = nodes.select("s1", "s2", "node").join(known, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component"))
     out = signed.join(of_class, ["s1", "s2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
@@ -301,20 +293,5 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select(real(F.col("doc_id")).alias("doc_id"), "n_shingles", real(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
-def _rest(scratch: Scratch, regions: DataFrame, known: DataFrame, percent: int) -> DataFrame | None:
-    """Possible pairs between different components of regions with more than LEAF nodes."""
-    large = regions.groupBy("tree", "root").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > LEAF)
-    inside = regions.drop("rest").join(large, ["tree", "root"]).join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    inside = scratch.keep(inside, "large")
-    split = inside.groupBy("tree", "root").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("tree", "root")
-    open_rows = inside.join(split, ["tree", "root"]).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # A row goes once to each pair of blocks that its own is one of.
-    to = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    sent = open_rows.select("*", to).select("tree", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "component", "n_shingles", "sketch", "block")
-    pairs = sent.repartition("tree", "root", "i", "j").sortWithinPartitions("tree", "root", "i", "j", "node").mapInArrow(_block_proposer(percent / 100), "a long, b long, unit long")
-    found = scratch.keep(pairs.groupBy("a", "b").agg(F.min("unit").alias("unit")), "more-pairs")
-    return found if found.limit(1).count() else None
-
-
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
