@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from loomgraph.llm.ann import op10_ann
+from loomgraph.llm.decontaminate import OP5_SQL, op5_decontamination
+from loomgraph.llm.line_dedup import OP6_SQL, op6_line_dedup
 from loomgraph.llm.mixing import OP8_SQL, op8_source_mix
 from loomgraph.llm.near_dedup import op4_minhash_near_dedup
 from loomgraph.llm.quality import op1_quality_classifier
@@ -14,11 +16,15 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_secret_scan": op3_secret_scan,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_decontamination": op5_decontamination,
+    "op6_line_dedup": op6_line_dedup,
     "op8_source_mix": op8_source_mix,
     "op10_ann": op10_ann,
 }
 
 ORACLE_SQL = {
     "op2_url_filter": OP2_SQL,
+    "op5_decontamination": OP5_SQL,
+    "op6_line_dedup": OP6_SQL,
     "op8_source_mix": OP8_SQL,
 }
