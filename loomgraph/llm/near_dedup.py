@@ -4,17 +4,18 @@
    128-bit hash of the set. Texts with equal sets form a class; one node stands for it.
 2. The signature is cut into ``TREES`` sequences. In each, nodes are sorted by their
    sequence; nodes that share the first ``ROOT`` values stand in one region. A region
-   of up to ``LEAF`` nodes proposes all its pairs; a larger one is split by one value
-   more, and so on, and proposes for each node the leader of every region it is in and
-   its next neighbours, which share the longest prefixes with it.
+   of up to ``LEAF`` nodes proposes all its pairs. A larger one proposes for each node
+   its next ones in order, which share the longest prefixes with it, and is split by one
+   value more, and so on as deep as it is dense: the parts propose the leader for each
+   node, and all their pairs once they have ``SMALL`` nodes.
 3. Proposed pairs whose sketches can't reach the threshold fall out. The others are
    verified on full sets, each pair once, by units of up to ``UNIT`` nodes, so that a
    set travels once a unit and not once a pair.
 4. Components of the verified links. Nodes of regions that were too large for all
    their pairs are then sorted in ``MORE`` further orders of their signature values, and
    what these propose between different components is verified as well. A link at the
-   threshold in a large region is proposed in an order with probability 0.27 or more, so
-   all 56 orders miss it with probability 2e-8; work stays linear in the region's size.
+   threshold shares a whole sequence in an order with probability 0.27, so all 56 orders
+   separate it with probability 2e-8; work stays linear in the region's size.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from loomgraph.llm.store import Scratch
 
 #: A pair at similarity 0.85 shares no root in any tree with probability (1 - 0.85^3)^14 = 2e-6.
 TREES, DEPTH, ROOT = 14, 8, 3
-LEAF, UNIT, NEXT = 24, 256, 4
+LEAF, SMALL, UNIT, NEXT = 24, 8, 256, 3
 MORE = 42
 #: Rows of one region held at a time.
 HELD = 1 << 16
@@ -83,35 +84,30 @@ class _Region:
         self.units += 1
 
     def split(self) -> None:
-        stack = [(0, len(self.node), 0)]
+        size = len(self.node)
+        if size <= LEAF:
+            self.propose(*np.triu_indices(size, 1))
+            return
+        for at in range(0, size, UNIT - NEXT):  # the next ones in order share the longest prefixes
+            own = np.arange(at, min(size, at + UNIT - NEXT))
+            near = [own[own + step < size] for step in range(1, NEXT + 1)]
+            self.propose(np.concatenate(near), np.concatenate([x + step for step, x in enumerate(near, 1)]))
+        stack = [(0, size, 0, True)]
         while stack:
-            lo, hi, depth = stack.pop()
-            size = hi - lo
-            if size < 2:
-                continue
-            if size <= LEAF:
-                i, j = np.triu_indices(size, 1)
+            lo, hi, depth, new_leader = stack.pop()
+            if hi - lo <= SMALL:
+                i, j = np.triu_indices(hi - lo, 1)
                 self.propose(lo + i, lo + j)
                 continue
-            for at in range(lo + 1, hi, UNIT - NEXT - 1):  # the leader, and each node's next ones
-                own = np.arange(at, min(hi, at + UNIT - NEXT - 1))
-                i = [np.full(len(own), lo)]
-                j = [own]
-                for step in range(1, NEXT + 1):
-                    near = own[own + step < hi]
-                    i.append(near)
-                    j.append(near + step)
-                i, j = np.concatenate(i), np.concatenate(j)
-                self.propose(i[i != j], j[i != j])
+            if new_leader:
+                for at in range(lo + 1, hi, UNIT - 1):
+                    own = np.arange(at, min(hi, at + UNIT - 1))
+                    self.propose(np.full(len(own), lo), own)
             if depth < DEPTH - ROOT:
                 cuts = np.flatnonzero(np.diff(self.rest[lo:hi, depth].astype(np.int64))) + 1
-                for a, b in zip([0, *cuts], [*cuts, size], strict=True):
+                for a, b in zip([0, *cuts], [*cuts, hi - lo], strict=True):
                     if b - a > 1:
-                        stack.append((lo + a, lo + b, depth + 1))
-            else:
-                for at in range(lo, hi, LEAF):
-                    i, j = np.triu_indices(min(LEAF, hi - at), 1)
-                    self.propose(at + i, at + j)
+                        stack.append((lo + a, lo + b, depth + 1, a > 0))
 
 
 def possible(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
@@ -222,7 +218,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         pairs.select("unit", F.col("a").alias("node"), F.col("b").alias("other")).union(pairs.select("unit", F.col("b").alias("node"), F.lit(None).cast("long").alias("other")))
         .groupBy("unit", "node").agg(F.collect_list("other").alias("others"))
     )  # fmt: skip  # a unit has UNIT nodes at most
-    return texts.join(sent, "node").select("unit", "node", "text", "others").repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(_verifier(percent), "a long, b long")
+    return texts.hint("merge").join(sent, "node").select("unit", "node", "text", "others").repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(_verifier(percent), "a long, b long")
 
 
 _REGIONS = "tree int, root binary, rest binary, node long, n_shingles int, sketch binary, component long"
@@ -277,7 +273,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     regions = nodes.select(tree, "*").select("tree", values(F.col("tree"), 0, ROOT).alias("root"), values(F.col("tree"), ROOT, DEPTH).alias("rest"), "node", F.col("n_shingles").cast("int"), "sketch", F.col("node").alias("component"))
     proposed = scratch.keep(_proposed(regions, percent / 100), "proposed")
-    texts = rows.select(F.col("doc_id").alias("node"), "text")
+    # Texts of the nodes that any pair needs are sorted out once, and by a shuffle at any size.
+    asked = proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = scratch.keep(rows.select(F.col("doc_id").alias("node"), "text").hint("merge").join(asked, "node", "left_semi"), "texts")
     links = scratch.keep(_verified(_once(proposed), texts, percent), "links")
     known = connected_components(links, scratch, "first")
     dense = proposed.filter("a = b").select(F.col("a").alias("node")).distinct()
