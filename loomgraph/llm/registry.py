@@ -9,6 +9,7 @@ from loomgraph.llm.mixing import OP8_SQL, op8_source_mix
 from loomgraph.llm.near_dedup import op4_minhash_near_dedup
 from loomgraph.llm.quality import op1_quality_classifier
 from loomgraph.llm.secrets import op3_secret_scan
+from loomgraph.llm.suffix_dedup import op7_suffix_dedup
 from loomgraph.llm.url_filter import OP2_SQL, op2_url_filter
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_line_dedup": op6_line_dedup,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_source_mix": op8_source_mix,
     "op10_ann": op10_ann,
 }
