@@ -7,6 +7,7 @@ from loomgraph.llm.decontaminate import OP5_SQL, op5_decontamination
 from loomgraph.llm.line_dedup import OP6_SQL, op6_line_dedup
 from loomgraph.llm.mixing import OP8_SQL, op8_source_mix
 from loomgraph.llm.near_dedup import op4_minhash_near_dedup
+from loomgraph.llm.paragraph_dedup import op9_paragraph_dedup
 from loomgraph.llm.quality import op1_quality_classifier
 from loomgraph.llm.secrets import op3_secret_scan
 from loomgraph.llm.suffix_dedup import op7_suffix_dedup
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_line_dedup": op6_line_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_source_mix": op8_source_mix,
+    "op9_paragraph_dedup": op9_paragraph_dedup,
     "op10_ann": op10_ann,
 }
 
