@@ -22,8 +22,9 @@ KINDS = [
 ]
 #: Candidate strings of the entropy scan, maximal runs, and the size of the window that slides over them.
 CANDIDATE, WINDOW = r"[A-Za-z0-9+/_=-]{20,}+", 20
-#: c * log2(c) in millionths, for whole-number sums that don't depend on their order.
-NLOG = [0] + [round(c * math.log2(c) * 1e6) for c in range(1, WINDOW + 1)]
+#: c * log2(c) in millionths, for whole-number sums that don't depend on their order. A count is one more than
+#: the window's size between a character's coming and another's going.
+NLOG = [0] + [round(c * math.log2(c) * 1e6) for c in range(1, WINDOW + 2)]
 #: Least entropy of a window in bits, by the classes of its characters: hexadecimal digits only; letters of one case and digits; anything else.
 LEAST_BITS = {"hex": 3.0, "one_case": 3.5, "mixed": 3.9}
 #: Candidates that are no secrets: uuids, paths of words, words joined by - or _, runs of letters of one case, digits alone, placeholders.
