@@ -123,9 +123,10 @@ def repeated_paragraphs(docs: DataFrame, least: float = 0.8, doc_id: str = "doc_
     no_id = (1 << 63) - 1
     rows = docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(no_id)).alias("doc_id"), F.xxhash64(docs[text]).alias("th"), docs[text].alias("text"))
     every = scratch.keep(rows.filter("text IS NOT NULL").mapInArrow(_cutter, _PARAGRAPH), "paragraphs")
-    place = F.xxhash64("doc_id", "th", "start").alias("place")
-    bands = [every.select(F.col(f"m{b}").alias("key"), place) for b in range(BANDS)]
-    shared = bands[0].union(bands[1]).groupBy("key").agg(F.min("place").alias("x"), F.max("place").alias("y")).filter("x <> y").select("key")
+    # A text's own paragraphs overlap and share values; that alone is no repeat.
+    bands = [every.select(F.col(f"m{b}").alias("key"), F.xxhash64("doc_id", "th").alias("doc"), "start", (F.col("start") + F.col("size")).alias("end")) for b in range(BANDS)]
+    places = bands[0].union(bands[1]).groupBy("key").agg(F.min("doc").alias("x"), F.max("doc").alias("y"), F.max("start").alias("last"), F.min("end").alias("end"))
+    shared = places.filter("x <> y OR last >= end").select("key")
     shared = scratch.keep(shared, "shared")
     scratch.release()
     fields = ["doc_id", "th", "start", "size", "wh"]
