@@ -1 +1 @@
-"""Functions of the engine."""
+"""Column functions and plain text functions of the engine."""

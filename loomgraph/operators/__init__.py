@@ -1 +1 @@
-"""Operators of the engine."""
+"""Operators over site tables, graphs and indexes."""
