@@ -13,6 +13,7 @@ are verified by exact Jaccard similarity; their components keep the earliest par
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,6 @@ from loomgraph.llm.components import connected_components
 from loomgraph.llm.store import Scratch
 
 WORDS, WINDOW, BANDS = 25, 26, 2
-#: Different paragraphs of a bucket that are all compared; in a larger bucket each meets the first and the next NEXT in order of the other band.
-BUCKET, NEXT = 64, 16
 _LOW = (1 << 24) - 1
 _PARAGRAPH = "doc_id long, th long, start int, size int, wh long, m0 long, m1 long"
 
@@ -76,32 +75,47 @@ def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verifier(least: float):
-    """Rows (key, wh, other, bytes) sorted by key and other to pairs (a, b) of word hashes whose shingle sets are alike."""
+    """What turns rows (key, wh, bytes) sorted by key into links (a, b) of word hashes whose shingle sets are alike.
+
+    Within a bucket, sets that are alike share one of their first hashes, as many as the
+    bound lets two sets differ in; only such are compared, and only if no link joins them yet.
+    """
+
+    def alike(x: np.ndarray, y: np.ndarray) -> bool:
+        both = np.concatenate([x, y])
+        both.sort()
+        shared = int((both[1:] == both[:-1]).sum())
+        return shared >= least * (len(both) - shared) - 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, leader, whole = None, [], None, True
+        key: int | None = None
+        held: list[tuple[int, np.ndarray]] = []
+        index: dict[int, list[int]] = {}
+        up: list[int] = []
 
-        def alike(x: np.ndarray, y: np.ndarray) -> bool:
-            both = np.concatenate([x, y])
-            both.sort()
-            shared = int((both[1:] == both[:-1]).sum())
-            return shared >= least * (len(both) - shared) - 1e-9
+        def top(i: int) -> int:
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
 
         for batch in batches:
             data, offsets = K.text_bytes(batch.column("bytes"))
             hashes, at = K.shingle_sets(data, offsets)
             out: list[tuple[int, int]] = []
             for i, (own, wh) in enumerate(zip(batch.column("key").to_pylist(), batch.column("wh").to_pylist(), strict=True)):
-                mine = hashes[at[i] : at[i + 1]]
                 if own != key:
-                    key, held, leader, whole = own, [], None, True
-                if len(held) >= BUCKET and whole:
-                    whole, leader = False, held[0]
-                others = held if whole else [leader, *held[-NEXT:]]
-                out += [(min(wh, o), max(wh, o)) for o, theirs in others if o != wh and alike(mine, theirs)]
+                    key, held, index, up = own, [], {}, []
+                mine, me = hashes[at[i] : at[i + 1]], len(held)
+                prefix = mine[: len(mine) - math.ceil(least * len(mine) - 1e-9) + 1].tolist()
                 held.append((wh, mine))
-                if not whole:
-                    del held[:-NEXT]
+                up.append(me)
+                for j in sorted({j for t in prefix for j in index.get(t, ())}):
+                    if top(j) != top(me) and alike(mine, held[j][1]):
+                        up[top(me)] = top(j)
+                        out.append((min(wh, held[j][0]), max(wh, held[j][0])))
+                for t in prefix:
+                    index.setdefault(t, []).append(me)
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
@@ -112,7 +126,7 @@ def repeated_paragraphs(docs: DataFrame, least: float = 0.8, doc_id: str = "doc_
 
     Words are runs of other than blank characters with A-Z lower-cased; a paragraph has
     25 of them. Paragraphs are alike with a Jaccard similarity of ``least`` or more between
-    their sets of five-word shingles. Of each component of alike paragraphs the earliest, by
+    their sets of five-word shingles; within one text only equal ones are looked for. Of each component of alike paragraphs the earliest, by
     doc_id and place, stays, with those that overlap it. Returns a row for each other one: doc_id, start and size (UTF-8
     bytes), component (an id of the component) and kept_in, the doc_id of the one that stays.
     Null and empty texts and texts of fewer than 25 words have no paragraphs. A null doc_id
@@ -123,40 +137,45 @@ def repeated_paragraphs(docs: DataFrame, least: float = 0.8, doc_id: str = "doc_
     no_id = (1 << 63) - 1
     rows = docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(no_id)).alias("doc_id"), F.xxhash64(docs[text]).alias("th"), docs[text].alias("text"))
     every = scratch.keep(rows.filter("text IS NOT NULL").mapInArrow(_cutter, _PARAGRAPH), "paragraphs")
-    # A text's own paragraphs overlap and share values; that alone is no repeat.
-    bands = [every.select(F.col(f"m{b}").alias("key"), F.xxhash64("doc_id", "th").alias("doc"), "start", (F.col("start") + F.col("size")).alias("end")) for b in range(BANDS)]
-    places = bands[0].union(bands[1]).groupBy("key").agg(F.min("doc").alias("x"), F.max("doc").alias("y"), F.max("start").alias("last"), F.min("end").alias("end"))
-    shared = places.filter("x <> y OR last >= end").select("key")
-    shared = scratch.keep(shared, "shared")
+    place = F.xxhash64("doc_id", "th", "start")
+    equal = every.select("wh", place.alias("place")).groupBy("wh").agg(F.min("place").alias("x"), F.max("place").alias("y")).filter("x <> y").select("wh")
+    equal = scratch.keep(equal, "equal")
+    # One band after the other, so that one shuffle of all paragraphs is on disk at a time.
+    met = [_collisions(scratch, every, f"m{b}") for b in range(BANDS)]
+    cut = F.expr("substring(cast(text as binary), start + 1, size)").alias("bytes")
+    sent = rows.filter("text IS NOT NULL").hint("merge").join(met[0].union(met[1]), ["doc_id", "th"]).select("key", "wh", cut)
+    sent = scratch.keep(sent.dropDuplicates(["key", "wh"]), "sent")
     scratch.release()
-    fields = ["doc_id", "th", "start", "size", "wh"]
-    hits = [every.join(shared, every[f"m{b}"] == shared["key"]).select("key", F.col(f"m{1 - b}").alias("other"), *fields) for b in range(BANDS)]
-    hits = scratch.keep(hits[0].union(hits[1]), "hits")
+    links = scratch.keep(sent.repartition("key").sortWithinPartitions("key", "wh").mapInArrow(_verifier(least), "a long, b long").distinct(), "links")
+    scratch.drop(sent)
+    known = connected_components(links, scratch).withColumnRenamed("node", "wh")
+    ends = known.select("wh", "component").union(known.select(F.col("component").alias("wh"), "component")).distinct()
+    nodes = equal.join(ends, "wh", "full").select("wh", F.coalesce("component", "wh").alias("component"))
+    found = scratch.keep(every.select("doc_id", "th", "start", "size", "wh").join(nodes, "wh").drop("wh"), "repeats")
     scratch.drop(every)
     scratch.release()
-    # Paragraphs of equal words are one node; its earliest place stands for it.
-    first = hits.groupBy("wh").agg(F.min(F.struct("doc_id", "th", "start", "size")).alias("at"), F.max(F.struct("doc_id", "th", "start")).alias("last"))
-    first = scratch.keep(first.select("wh", "at", (F.struct("at.doc_id", "at.th", "at.start") != F.col("last")).alias("again")), "first")
-    buckets = hits.groupBy("key", "wh").agg(F.min("other").alias("other"))
-    buckets = scratch.keep(buckets, "buckets")
-    mixed = buckets.groupBy("key").agg(F.min("wh").alias("x"), F.max("wh").alias("y")).filter("x <> y").select("key")
-    met = buckets.join(mixed, "key").join(first, "wh").select("key", "wh", "other", "at.*")
-    cut = F.expr("substring(cast(text as binary), start + 1, size)").alias("bytes")
-    sent = rows.filter("text IS NOT NULL").hint("merge").join(met, ["doc_id", "th"]).select("key", "wh", "other", cut).dropDuplicates(["key", "wh"])
-    links = scratch.keep(sent.repartition("key").sortWithinPartitions("key", "other", "wh").mapInArrow(_verifier(least), "a long, b long").distinct(), "links")
-    scratch.release()
-    known = connected_components(links, scratch)
-    nodes = first.join(known.withColumnRenamed("node", "wh"), "wh", "left").withColumn("component", F.coalesce("component", "wh"))
-    keeper = nodes.groupBy("component").agg(F.min("at").alias("keep"), F.max("again").alias("again"), F.min("wh").alias("x"), F.max("wh").alias("y")).filter("again OR x <> y").select("component", "keep")
-    of_node = scratch.keep(nodes.join(keeper, "component").select("wh", "component", "keep"), "nodes")
+    keeper = scratch.keep(found.groupBy("component").agg(F.min(F.struct("doc_id", "th", "start", "size")).alias("keep")), "keeper")
     # Two cuts may be a word or two apart; a paragraph that overlaps the one that stays is part of it.
     same_text = (F.col("doc_id") == F.col("keep.doc_id")) & (F.col("th") == F.col("keep.th"))
     apart = F.col("start") >= F.col("keep.start") + F.col("keep.size")
-    gone = hits.select(*fields).distinct().join(of_node, "wh").filter(~same_text | apart)
+    gone = found.join(keeper, "component").filter(~same_text | apart)
     real = lambda c: F.when(c != no_id, c)
     return gone.select(real(F.col("doc_id")).alias("doc_id"), "start", "size", "component", real(F.col("keep.doc_id")).alias("kept_in"))
 
 
+def _collisions(scratch: Scratch, every: DataFrame, band: str) -> DataFrame:
+    """(key, wh, doc_id, th, start, size): one paragraph for each different words of a bucket that two texts and two wordings are in."""
+    own = every.select(F.col(band).alias("key"), F.xxhash64("doc_id", "th").alias("doc"), "wh")
+    mixed = own.groupBy("key").agg(F.min("doc").alias("x"), F.max("doc").alias("y"), F.min("wh").alias("u"), F.max("wh").alias("v")).filter("x <> y AND u <> v").select("key")
+    mixed = scratch.keep(mixed, f"mixed-{band}")
+    scratch.release()
+    hits = every.select(F.col(band).alias("key"), "wh", "doc_id", "th", "start", "size").join(mixed, "key")
+    found = hits.groupBy("key", "wh").agg(F.min(F.struct("doc_id", "th", "start", "size")).alias("at")).select("key", "wh", "at.*")
+    found = scratch.keep(found, f"met-{band}")
+    scratch.release()
+    return found
+
+
 def op9_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents: one that repeats paragraphs, and the one where their first copy stays."""
     found = repeated_paragraphs(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
