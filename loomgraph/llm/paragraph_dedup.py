@@ -26,6 +26,8 @@ from loomgraph.llm.components import connected_components
 from loomgraph.llm.store import Scratch
 
 WORDS, WINDOW, BANDS = 25, 26, 2
+#: A bucket of so many wordings is compared pair by pair, a larger one by its rarest shingles.
+FEW = 8
 _LOW = (1 << 24) - 1
 _PARAGRAPH = "doc_id long, th long, start int, size int, wh long, m0 long, m1 long"
 
@@ -74,12 +76,20 @@ def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(text), batch.column(1).take(text), pa.array(found["start"].astype(np.int32)), pa.array(found["size"].astype(np.int32)), *(pa.array(found[c]) for c in ("wh", "m0", "m1"))], ["doc_id", "th", "start", "size", "wh", "m0", "m1"])
 
 
-def _verifier(least: float):
-    """What turns rows (key, wh, bytes) sorted by key into links (a, b) of word hashes whose shingle sets are alike.
+def similar_pairs(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links that join the sets into their components at a Jaccard similarity of ``least``.
 
-    Within a bucket, sets that are alike share one of their first hashes, as many as the
-    bound lets two sets differ in; only such are compared, and only if no link joins them yet.
+    Of two sets that are alike each holds one of the other's rarest hashes, as many as the
+    bound lets them differ in and one more. Rarity is within the bucket, so what all of its
+    sets share, like a common line in different surroundings, brings none of them together.
     """
+    up = list(range(len(sets)))
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
 
     def alike(x: np.ndarray, y: np.ndarray) -> bool:
         both = np.concatenate([x, y])
@@ -87,36 +97,51 @@ def _verifier(least: float):
         shared = int((both[1:] == both[:-1]).sum())
         return shared >= least * (len(both) - shared) - 1e-9
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key: int | None = None
-        held: list[tuple[int, np.ndarray]] = []
-        index: dict[int, list[int]] = {}
-        up: list[int] = []
+    if len(sets) <= FEW:
+        near = [range(i) for i in range(len(sets))]
+    else:
+        values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        rank = np.empty(len(values), np.int64)
+        rank[np.lexsort((values, counts))] = np.arange(len(values))
+        near, index, at = [], {}, 0
+        for i, own in enumerate(sets):
+            rare = np.sort(rank[inverse[at : at + len(own)]])[: len(own) - math.ceil(least * len(own) - 1e-9) + 1].tolist()
+            at += len(own)
+            near.append(sorted({j for t in rare for j in index.get(t, ())}))
+            for t in rare:
+                index.setdefault(t, []).append(i)
+    out = []
+    for i, others in enumerate(near):
+        for j in others:
+            if top(j) != top(i) and alike(sets[i], sets[j]):
+                up[top(i)] = top(j)
+                out.append((j, i))
+    return out
 
-        def top(i: int) -> int:
-            while up[i] != i:
-                up[i] = up[up[i]]
-                i = up[i]
-            return i
 
+def _verifier(least: float):
+    """What turns rows (key, wh, bytes) sorted by key into links (a, b) of word hashes whose shingle sets are alike."""
+
+    def links(whs: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        return [(min(whs[i], whs[j]), max(whs[i], whs[j])) for i, j in similar_pairs(sets, least)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: int | None = None
+        whs: list[int] = []
+        sets: list[np.ndarray] = []
         for batch in batches:
             data, offsets = K.text_bytes(batch.column("bytes"))
             hashes, at = K.shingle_sets(data, offsets)
             out: list[tuple[int, int]] = []
             for i, (own, wh) in enumerate(zip(batch.column("key").to_pylist(), batch.column("wh").to_pylist(), strict=True)):
                 if own != key:
-                    key, held, index, up = own, [], {}, []
-                mine, me = hashes[at[i] : at[i + 1]], len(held)
-                prefix = mine[: len(mine) - math.ceil(least * len(mine) - 1e-9) + 1].tolist()
-                held.append((wh, mine))
-                up.append(me)
-                for j in sorted({j for t in prefix for j in index.get(t, ())}):
-                    if top(j) != top(me) and alike(mine, held[j][1]):
-                        up[top(me)] = top(j)
-                        out.append((min(wh, held[j][0]), max(wh, held[j][0])))
-                for t in prefix:
-                    index.setdefault(t, []).append(me)
+                    out += links(whs, sets)
+                    key, whs, sets = own, [], []
+                whs.append(wh)
+                sets.append(hashes[at[i] : at[i + 1]])
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+        out = links(whs, sets)
+        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 

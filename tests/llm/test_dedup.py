@@ -234,3 +234,16 @@ def test_kernels_agree_with_python():
     data, offsets = kernels.text_bytes(pa.array(texts)[3:])
     _, at = kernels.shingle_sets(data, offsets)
     assert np.diff(at).tolist() == [len(shingles(t)) for t in texts[3:]]
+
+
+def test_similar_pairs_lose_no_link():
+    gen = np.random.default_rng(3)
+    common = gen.integers(0, 2**63, 9)
+    sets = []
+    for _ in range(30):
+        base = np.unique(np.concatenate([common, gen.integers(0, 2**63, 12)]))
+        sets += [base, np.unique(np.concatenate([base[:-1], gen.integers(0, 2**63, 1)])), np.unique(np.concatenate([base[3:], gen.integers(0, 2**63, 3)]))]
+    near = lambda a, b: len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))
+    want = components(range(len(sets)), near)
+    found = set(paragraph_dedup.similar_pairs(sets, 0.8))
+    assert components(range(len(sets)), lambda a, b: (b, a) in found) == want
