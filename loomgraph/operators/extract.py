@@ -299,7 +299,7 @@ def endpoints(file: str, text: str, known: dict[str, str]) -> Iterator[Site]:
 
 def config(file: str, text: str, known: dict[str, str]) -> Iterator[Site]:
     own = classes(text)
-    for c in calls(text, rf"(?:this\.)?{NAME}*[cC]onfig\w*\.(?:get|getOrThrow|getOrDefault)"):
+    for c in calls(text, r"(?:this\.)?[\w$]*[cC]onfig\w*\.(?:get|getOrThrow|getOrDefault)"):
         kind, value, _ = resolve(c.args[0] if c.args else "", known)
         yield {"key": value if kind == "literal" else None, "source": "config-service", "at": c.start, "enclosing_class": class_at(own, c.start)}
     for m in re.finditer(r"\bprocess\.env(?:\.([A-Za-z_]\w*)|\[['\"]([^'\"]+)['\"]\])", text):
@@ -346,6 +346,7 @@ def modules(file: str, text: str, known: dict[str, str]) -> Iterator[Site]:
     """Entries of @Module fields: role is the field, method the kind of reference, subject its name."""
     for d in decorators(text, "Module"):
         cls = following(text, d.end)
+        yield {"role": "module", "method": "module", "enclosing_class": cls[2] if cls else None, "at": d.start}
         for field in ("imports", "providers", "exports", "controllers"):
             value = object_fields(d.args[0]).get(field) if d.args else None
             if value is None:
@@ -507,7 +508,7 @@ def schedules(file: str, text: str, known: dict[str, str]) -> Iterator[Site]:
                 name = literal(d.args[0])
             value = d.args[-1] if re.fullmatch(r"[\d_]+", d.args[-1]) else None
         yield {"role": d.name.lower(), "subject": value, "pattern": label, "detail": name or (member[2] if member else None), "enclosing_class": cls, "flag": False, "at": d.start}
-    for c in calls(text, rf"(?:this\.)?({NAME}\.)?(?:addCronJob|addInterval|addTimeout)".replace("({", "(?:{").replace(f"({NAME}", f"(?:{NAME}")):
+    for c in calls(text, rf"(?:this\.)?(?:{NAME}\.)?(?:addCronJob|addInterval|addTimeout)"):
         if re.search(r"schedul|registry", c.name, re.I):
             yield {"role": {"addCronJob": "cron", "addInterval": "interval", "addTimeout": "timeout"}[c.name.rsplit(".", 1)[-1]], "subject": literal(c.args[0]) if c.args else None, "detail": literal(c.args[0]) if c.args else None, "flag": True, "enclosing_class": class_at(classes(text), c.start), "at": c.start}
 

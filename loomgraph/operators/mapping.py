@@ -167,7 +167,7 @@ def map_modules(refs: DataFrame, uses: DataFrame, chain: DataFrame) -> Parts:
     both = there(there(chain.withColumn("class", F.substring_index("attached_to", ".", 1)), "class"), "provider")
     edges = edges.unionByName(_edges(both, F.concat(F.lit("di-"), "kind"), provider("class"), provider("provider"), by=F.col("attached_to")))
     missed = chain.withColumn("__id", provider("provider")).join(known.withColumnRenamed("id", "__id"), "__id", "left_anti")
-    notes = _diagnostics(refs, "di", F.when((F.col("ref_kind") == "unresolved") | F.col("ref_name").isNull(), "unresolved")).unionByName(_diagnostics(missed, "di", F.lit("unknown provider")))
+    notes = _diagnostics(refs.filter("field <> 'module'"), "di", F.when((F.col("ref_kind") == "unresolved") | F.col("ref_name").isNull(), "unresolved")).unionByName(_diagnostics(missed, "di", F.lit("unknown provider")))
     return nodes, edges, notes
 
 
@@ -261,7 +261,7 @@ def map_fields(sites: DataFrame) -> Parts:
 def map_docs(sections: DataFrame) -> DataFrame:
     """sections: file, slug, heading_chain, heading_level, start_line, ord. Nodes only."""
     node = F.concat(F.lit("doc-section:"), "file", F.lit("#"), "slug")
-    return _nodes(sections, "doc-section", node, F.coalesce(F.element_at("heading_chain", -1), F.col("file")), F.col("file"), F.to_json(F.struct("heading_chain", "heading_level", "start_line")))
+    return _nodes(sections, "doc-section", node, F.coalesce(F.try_element_at("heading_chain", F.lit(-1)), F.col("file")), F.col("file"), F.to_json(F.struct("heading_chain", "heading_level", "start_line")))
 
 
 def enrich_endpoints(endpoints: DataFrame, operations: DataFrame) -> DataFrame:

@@ -1 +1 @@
-"""Sources of the engine."""
+"""Scans and sinks: source trees, Markdown, graphs, indexes, settings."""
