@@ -293,3 +293,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS key, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT key, array_to_string(w[p + 1 : p + 5], ' ') AS shingle FROM d, unnest(range(0, greatest(len(w) - 4, 1))) AS x(p) WHERE len(w) > 0
+), n AS (SELECT key, count(*) AS n FROM s GROUP BY key),
+pairs AS (SELECT a.key AS a, b.key AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.key < b.key GROUP BY ALL),
+links AS (SELECT p.a, p.b FROM pairs p JOIN n x ON x.key = p.a JOIN n y ON y.key = p.b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+hops AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(key, other) AS (SELECT key, key FROM d UNION SELECT r.key, h.b FROM reach r JOIN hops h ON r.other = h.a),
+c AS (SELECT r.key, min(o.doc_id) AS component_id FROM reach r JOIN d o ON o.key = r.other GROUP BY r.key)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept FROM d JOIN c USING (key) LEFT JOIN n USING (key)
+"""

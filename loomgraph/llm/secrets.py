@@ -151,3 +151,36 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = F.filter("spans", lambda s: s["kind"] != "entropy")
     return found.select("doc_id", *[count(k) for k, *_ in KINDS], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
+def _oracle() -> str:
+    base = "\nUNION ALL ".join(
+        f"SELECT key, {rank} AS rank, '{kind}' AS kind, regexp_split_to_array(t, {_quoted(p)}) AS g, regexp_extract_all(t, {_quoted(p)}, 0) AS h, regexp_extract_all(t, {_quoted(p)}, {group}) AS c, {least} AS least FROM d WHERE regexp_matches(t, {_quoted(p)})"
+        for rank, (kind, p, group, least) in enumerate([(k, p.replace("}+", "}"), g, n) for k, p, g, n in [*KINDS, ("candidate", CANDIDATE, 0, WINDOW)]])
+    )
+    allowed = " OR ".join(f"regexp_matches(s, {_quoted(p)})" for p in ALLOWED)
+    most = {k: round((math.log2(WINDOW) - bits) * WINDOW * 1e6) for k, bits in LEAST_BITS.items()}
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS key, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({base}),
+p AS (SELECT key, rank, kind, h[i] AS s, length(c[i]) >= least AS ok, coalesce(list_sum([length(x) FOR x IN g[1 : i]]), 0) + coalesce(list_sum([length(x) FOR x IN h[1 : i - 1]]), 0) AS a FROM m, unnest(range(1, len(h) + 1)) AS x(i)),
+b AS (SELECT key, rank, kind, a::BIGINT AS a, (a + length(s))::BIGINT AS b FROM p WHERE ok AND rank < 3),
+w AS (SELECT key, a, i, substr(s, i + 1, {WINDOW}) AS v FROM p, unnest(range(0, length(s) - {WINDOW} + 1)) AS x(i) WHERE ok AND rank = 3 AND NOT ({allowed})),
+n AS (SELECT key, a, i, v, sum(round(c * log2(c) * 1e6)) AS total FROM (SELECT key, a, i, v, ch, count(*) AS c FROM w, unnest(string_split(v, '')) AS x(ch) GROUP BY ALL) GROUP BY ALL),
+e AS (
+  SELECT key, a + i AS i, lag(a + i) OVER (PARTITION BY key, a ORDER BY i) AS before, a FROM n
+  WHERE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND total <= CASE
+    WHEN regexp_matches(v, '[+/_=-]') OR (regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')) THEN {most["mixed"]} WHEN regexp_matches(v, '[g-zG-Z]') THEN {most["one_case"]} ELSE {most["hex"]} END
+), r AS (SELECT *, sum((before IS NULL OR before + {WINDOW} < i)::INT) OVER (PARTITION BY key, a ORDER BY i) AS run FROM e),
+s AS (SELECT * FROM b UNION ALL SELECT key, 3, 'entropy', min(i), max(i) + {WINDOW} FROM r GROUP BY key, a, run),
+o AS (SELECT key, count(*) FILTER (WHERE rank = 0) AS n0, count(*) FILTER (WHERE rank = 1) AS n1, count(*) FILTER (WHERE rank = 2) AS n2,
+  string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank, b) FILTER (WHERE rank < 3) AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank, b) AS spans FROM s GROUP BY key)
+SELECT doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN o USING (key)
+"""
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+OP3_SQL = _oracle()
