@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomgraph.sources.tables import materialize
+
 # Fixed values of the ranking.
 K1, B, RRF, TOP_K, MOST_K = 1.2, 0.75, 60, 10, 50
 #: Least score of a model, and of any other.
@@ -23,7 +25,7 @@ def resolve_floor(user: float | None, model: str | None) -> float:
 
 def tokens(text: Column) -> Column:
     """Lower-case words of letters, digits and underscores with two characters or more."""
-    return F.filter(F.split(F.lower(text), TOKEN), lambda t: F.length(t) >= 2)
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9а-яё_]{2,}"), F.lit(0))
 
 
 def query_tokens(text: str) -> list[str]:
@@ -52,12 +54,14 @@ def bm25(records: DataFrame, query: Sequence[str], text: Column, key: str = "ord
     """(key, bm25) of the records that hold a query word. The corpus is the records given; a word that the query repeats counts again.
 
     Only query words leave the scan: each record yields its length and its counts of those
-    words, so what is shuffled is three sums a word, not the corpus's words.
+    words, so what is shuffled is three sums a word, not the corpus's words. Texts are read
+    once: the counts are written, and both the sums and the scores start from them.
     """
     words = sorted(set(query))
     own = records.select(F.col(key).alias("key"), tokens(F.coalesce(text, F.lit(""))).alias("t"))
+    own = own.select("key", F.size("t").alias("len"), (F.filter("t", lambda x: x.isin(*words)) if words else F.col("t")).alias("t"))
     count = lambda w: F.size(F.filter("t", lambda x: x == w))
-    counted = own.select("key", F.size("t").alias("len"), *[count(w).alias(f"tf{i}") for i, w in enumerate(words)])
+    counted = materialize(own.select("key", "len", *[count(w).alias(f"tf{i}") for i, w in enumerate(words)]))
     sums = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))])
     if not words:
         return counted.select("key", F.lit(0.0).alias("bm25")).limit(0)
