@@ -580,7 +580,7 @@ def symbols(file: str, text: str, known: dict[str, str]) -> Iterator[Site]:
                 continue
             if m[5] == "(":
                 close = balanced(text, m.end() - 1)
-                brace = re.compile(r"[^;{}]*(\{[^{}]*\}[^;{}]*)?").match(text, close).end()
+                brace = re.compile(r"\s*(?::(?:[^{};]|\{[^{}]*\}(?=\s*[{\[|&]))*)?").match(text, close).end()
                 stop = balanced(text, brace) if brace < end and text[brace] == "{" else brace + 1
                 yield {"role": "method", "subject": f"{name}.{m[3]}", "detail": re.sub(r"\s+", " ", text[m.start(3) : close]), "pattern": name, "flag": "async" in m[2], "at": m.start(3), "number": text.count("\n", 0, stop) + 1}
                 i = stop
