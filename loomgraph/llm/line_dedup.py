@@ -70,6 +70,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     hashed = hashed.select("__id", "__h", "line_no", "h1", "h2", *[F.col("k")[i].alias(f"k{i}") for i in range(3)])
     first = hashed.groupBy("h1", "h2").agg(F.min(F.struct("__id", "__h", "line_no")).alias("at"), *[F.max(f"k{i}").alias(f"k{i}") for i in range(3)])
     first = scratch.keep(first.select("at.*", "h1", "k0", "k1", "k2"), "first")
+    scratch.release()
     later = _near(scratch, rows, first)
     stay = first.join(later, ["__id", "__h", "line_no"], "left_anti").groupBy("__id", "__h").agg(F.collect_list("line_no").alias("__stay"))
     # Rebuild the texts.
@@ -96,6 +97,7 @@ def _near(scratch: Scratch, rows: DataFrame, first: DataFrame) -> DataFrame:
     # Range partitions are in order, and so are these numbers.
     ranked = text.select("__id", "__h", "line_no", _line_words(F.col("line")).alias("w")).orderBy("__id", "__h", "line_no").withColumn("rank", F.monotonically_increasing_id())
     ranked = scratch.keep(ranked, "ranked")
+    scratch.release()
     # A variant's key is a sum over the words left of a hash of the word and its place there,
     # so all variants of a line come from running sums, in time linear in the line.
     word = ranked.select("rank", F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
@@ -114,6 +116,7 @@ def _near(scratch: Scratch, rows: DataFrame, first: DataFrame) -> DataFrame:
     variants = word.select("rank", "i", key(F.col("n") - 1, *without).alias("k"))
     whole = word.groupBy("rank").agg(F.first("n").alias("n"), *[F.sum(f"here{s}").alias(f"s{s}") for s in (1, 2)]).select("rank", F.lit(-1).alias("i"), key(F.col("n"), F.col("s1"), F.col("s2")).alias("k"))
     every = scratch.keep(variants.union(whole), "variants")
+    scratch.release()
     least = every.groupBy("k").agg(F.min("rank").alias("to"), F.max("rank").alias("most"), F.min_by("i", "rank").alias("to_i")).filter("`to` < most").select("k", "to", "to_i")
     ties = every.join(least, "k").filter(F.col("rank") > F.col("to")).groupBy("rank", "to").agg(F.min(F.struct("i", "to_i")).alias("at"))
     own = ranked.select("rank", "__id", "__h", "line_no", F.col("w").alias("w"))
@@ -123,7 +126,11 @@ def _near(scratch: Scratch, rows: DataFrame, first: DataFrame) -> DataFrame:
         return F.when(i < 0, w).otherwise(F.concat(F.slice(w, 1, F.greatest(i, F.lit(0))), F.slice(w, i + 2, F.size(w))))
 
     same = left(F.col("w"), F.col("at.i")) == left(F.col("to_w"), F.col("at.to_i"))
-    return ties.join(own, "rank").join(other, "to").filter(same).select("__id", "__h", "line_no").distinct()
+    found = scratch.keep(ties.join(own, "rank").join(other, "to").filter(same).select("__id", "__h", "line_no").distinct(), "later")
+    scratch.drop(every)
+    scratch.drop(ranked)
+    scratch.release()
+    return found
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
