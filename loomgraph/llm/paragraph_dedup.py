@@ -165,14 +165,18 @@ def repeated_paragraphs(docs: DataFrame, least: float = 0.8, doc_id: str = "doc_
     place = F.xxhash64("doc_id", "th", "start")
     equal = every.select("wh", place.alias("place")).groupBy("wh").agg(F.min("place").alias("x"), F.max("place").alias("y")).filter("x <> y").select("wh")
     equal = scratch.keep(equal, "equal")
+    scratch.release()
     # One band after the other, so that one shuffle of all paragraphs is on disk at a time.
     met = [_collisions(scratch, every, f"m{b}") for b in range(BANDS)]
     cut = F.expr("substring(cast(text as binary), start + 1, size)").alias("bytes")
     sent = rows.filter("text IS NOT NULL").hint("merge").join(met[0].union(met[1]), ["doc_id", "th"]).select("key", "wh", cut)
     sent = scratch.keep(sent.dropDuplicates(["key", "wh"]), "sent")
+    for table in met:
+        scratch.drop(table)
     scratch.release()
     links = scratch.keep(sent.repartition("key").sortWithinPartitions("key", "wh").mapInArrow(_verifier(least), "a long, b long").distinct(), "links")
     scratch.drop(sent)
+    scratch.release()
     known = connected_components(links, scratch).withColumnRenamed("node", "wh")
     ends = known.select("wh", "component").union(known.select(F.col("component").alias("wh"), "component")).distinct()
     nodes = equal.join(ends, "wh", "full").select("wh", F.coalesce("component", "wh").alias("component"))
@@ -180,6 +184,7 @@ def repeated_paragraphs(docs: DataFrame, least: float = 0.8, doc_id: str = "doc_
     scratch.drop(every)
     scratch.release()
     keeper = scratch.keep(found.groupBy("component").agg(F.min(F.struct("doc_id", "th", "start", "size")).alias("keep")), "keeper")
+    scratch.release()
     # Two cuts may be a word or two apart; a paragraph that overlaps the one that stays is part of it.
     same_text = (F.col("doc_id") == F.col("keep.doc_id")) & (F.col("th") == F.col("keep.th"))
     apart = F.col("start") >= F.col("keep.start") + F.col("keep.size")
