@@ -17,7 +17,7 @@ SUFFIXES = ["Controller", "Service", "Module", "Dto", "Entity", "Processor", "Gu
 SINKS = {"db": "repo|repository|entityManager|dataSource", "message": "client|nats|publisher", "http": "http|axios|fetch", "job": "queue|mail", "log": "logger|console"}
 
 
-def _fit(df: DataFrame, ddl: str) -> DataFrame:
+def fit(df: DataFrame, ddl: str) -> DataFrame:
     """The columns of a table in order, null where there is none."""
     names = [(c.rsplit(" ", 1)[0].strip(), c.rsplit(" ", 1)[1]) for c in ddl.split(", ")]
     return df.select(*[(F.col(n) if n in df.columns else F.lit(None)).cast(t).alias(n) for n, t in names])
@@ -147,11 +147,11 @@ def policy_table(symbols: DataFrame, decorated: DataFrame | None = None) -> Data
 
 def code_intel(sites: DataFrame) -> CodeIntel:
     """All six tables, each written once."""
-    symbols = materialize(_fit(symbol_table(sites), schema.SYMBOLS))
-    calls = materialize(_fit(call_table(sites, symbols), schema.CALLS))
-    symbols = materialize(_fit(with_heritage(symbols.drop("inherits_from", "override_kind"), calls), schema.SYMBOLS))
+    symbols = materialize(fit(symbol_table(sites), schema.SYMBOLS))
+    calls = materialize(fit(call_table(sites, symbols), schema.CALLS))
+    symbols = materialize(fit(with_heritage(symbols.drop("inherits_from", "override_kind"), calls), schema.SYMBOLS))
     decorated = sites.filter("domain IN ('endpoint', 'di-chain') AND error IS NULL").select(F.concat_ws("#", "file", F.coalesce("handler", "pattern")).alias("symbol"), F.coalesce("method", "role").alias("decorator"))
-    return CodeIntel(symbols, calls, materialize(_fit(flow_table(calls, symbols), schema.FLOWS)), materialize(_fit(branch_table(sites, symbols), schema.BRANCHES)), materialize(_fit(impact_table(symbols, calls), schema.IMPACTS)), materialize(_fit(policy_table(symbols, decorated), schema.POLICIES)))
+    return CodeIntel(symbols, calls, materialize(fit(flow_table(calls, symbols), schema.FLOWS)), materialize(fit(branch_table(sites, symbols), schema.BRANCHES)), materialize(fit(impact_table(symbols, calls), schema.IMPACTS)), materialize(fit(policy_table(symbols, decorated), schema.POLICIES)))
 
 
 SNIPPET, LONG_SNIPPET = 400, 800

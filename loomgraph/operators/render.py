@@ -19,16 +19,20 @@ ARROWS = {"nats-request": "-.->", "nats-reply": "-.->", "http-external": "-.->",
 STYLES = {"service": "#dbeafe", "lib": "#e0e7ff", "nats-subject": "#fef3c7", "queue": "#fde68a", "db-table": "#dcfce7", "external": "#fee2e2", "endpoint": "#fae8ff", "cron-schedule": "#f5f5f4", "module": "#ecfeff"}
 
 
-def safe_ids(nodes: DataFrame) -> DataFrame:
-    """(id, safe, collides): ids of letters, digits and underscores; of nodes that come to the same one, the later get _2, _3, ..."""
-    base = nodes.select("id", F.regexp_replace("id", "[^A-Za-z0-9_]", "_").alias("base"))
+def numbered_ids(rows: DataFrame) -> DataFrame:
+    """Adds ``safe`` to (id, base): the base, with _2, _3, ... for the later ids of one base, and whether it has a suffix."""
     n = F.row_number().over(W.partitionBy("base").orderBy("id"))
-    out = base.withColumn("n", n).withColumn("safe", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("n").cast("string"))))
+    safe = F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("n").cast("string")))
+    return rows.withColumn("n", n).withColumn("safe", safe).withColumn("collides", F.col("n") > 1)
+
+
+def safe_ids(nodes: DataFrame) -> DataFrame:
+    """(id, safe, collides): ids of letters, digits and underscores, each of them once."""
+    out = numbered_ids(nodes.select("id", F.regexp_replace("id", "[^A-Za-z0-9_]", "_").alias("base")))
     # A suffix can meet another base: such names get a hash of the id instead.
     taken = out.groupBy("safe").agg(F.count(F.lit(1)).alias("uses"))
-    joined = out.join(taken, "safe")
-    safe = F.when((F.col("uses") > 1) & (F.col("n") > 1), F.concat_ws("_", "base", F.substring(F.sha2("id", 256), 1, 12))).otherwise(F.col("safe"))
-    return joined.select("id", safe.alias("safe"), (F.col("n") > 1).alias("collides"))
+    hashed = F.concat_ws("_", "base", F.substring(F.sha2("id", 256), 1, 12))
+    return out.join(taken, "safe").select("id", F.when((F.col("uses") > 1) & F.col("collides"), hashed).otherwise(F.col("safe")).alias("safe"), "collides")
 
 
 def _choose(column: str, table: dict[str, str], default: str):

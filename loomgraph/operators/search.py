@@ -108,8 +108,11 @@ def hybrid(
 
 
 def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Number rows from 1 in a total order, without one task for all of them."""
-    sorted_ = df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id())
+    """Number rows from 1 in a total order, without one task for all of them.
+
+    The sorted rows are written first: sorting again could deal them to other ranges.
+    """
+    sorted_ = materialize(df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()))
     # The upper bits of the id number the sorted ranges; within one the lower bits count rows.
     sorted_ = sorted_.withColumn("__range", F.shiftright("__id", 33))
     sizes = sorted_.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))

@@ -10,7 +10,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph import schema
+from loomgraph.operators.codetables import fit
 from loomgraph.operators.search import tokens
+from loomgraph.plans.codeintel import CodeIntel
 from loomgraph.plans.graph import Graph, first_by
 from loomgraph.sources.tables import table
 
@@ -97,3 +100,20 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_rows(df: DataFrame, text: str) -> DataFrame:
     return df.select(F.explode(tokens(F.coalesce(F.col(text), F.lit("")))).alias("token"))
+
+
+def code_tables(spark: SparkSession, sf_dir: str) -> CodeIntel:
+    """Parts as symbols in files of their brand and type, order lines as calls from parts to suppliers."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+    number = F.col("p_partkey").cast("string")
+    kind = F.when(F.col("p_size") <= 10, "method").when(F.col("p_size") <= 30, "class").otherwise("field")
+    file = F.concat(F.when(F.col("p_partkey") % 2 == 0, "apps/").otherwise("libs/"), "p_brand", F.lit("/src/"), F.lower("p_type"), F.lit(".ts"))
+    symbols = part.select(F.concat(F.lit("symbol:"), number).alias("id"), kind.alias("kind"), F.col("p_name").alias("name"), F.concat_ws(".", "p_brand", "p_name").alias("fqn"), file.alias("file"), F.col("p_partkey").alias("line"), F.round(F.col("p_retailprice") / 10000, 6).alias("quality_score"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
+    supplier, own = F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string")
+    calls = lines.select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("string").alias("id"), F.concat(F.lit("symbol:"), own).alias("caller_id"), F.concat(F.lit("f"), own).alias("caller"), F.when(F.col("l_returnflag") != "R", F.concat(F.lit("symbol:"), supplier)).alias("callee_id"),
+        F.concat(F.lit("Supplier"), supplier).alias("callee"), F.lit("internal").alias("kind"), F.col("l_orderkey").alias("order"), F.col("l_linestatus").alias("receiver"), F.concat(F.lit("apps/o"), (F.col("l_orderkey") % 100).cast("string"), F.lit(".ts")).alias("file"), F.col("l_linenumber").alias("line"),
+    )
+    none = lambda ddl: spark.createDataFrame([], ddl)
+    return CodeIntel(fit(symbols, schema.SYMBOLS), fit(calls, schema.CALLS), none(schema.FLOWS), none(schema.BRANCHES), none(schema.IMPACTS), none(schema.POLICIES))

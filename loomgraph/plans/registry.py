@@ -431,3 +431,118 @@ def mermaid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     graph = G.slice_service(projection.supply_graph(spark, sf_dir), "3")
     return lines(graph)
+
+
+CODE = """
+s AS (
+  SELECT 'symbol:' || p_partkey AS id, CASE WHEN p_size <= 10 THEN 'method' WHEN p_size <= 30 THEN 'class' ELSE 'field' END AS kind, p_name AS name, p_brand || '.' || p_name AS fqn,
+    CASE WHEN p_partkey % 2 = 0 THEN 'apps/' ELSE 'libs/' END || p_brand || '/src/' || lower(p_type) || '.ts' AS file, p_partkey AS line, round(p_retailprice / 10000, 6) AS quality_score FROM part
+),
+c AS (
+  SELECT l_orderkey * 8 + l_linenumber AS n, 'symbol:' || l_partkey AS caller_id, 'f' || l_partkey AS caller, CASE WHEN l_returnflag <> 'R' THEN 'symbol:' || l_suppkey END AS callee_id,
+    'Supplier' || l_suppkey AS callee, l_shipmode AS receiver, 'apps/o' || (l_orderkey % 100) || '.ts' AS file, l_linenumber AS line FROM (SELECT *, l_linestatus AS l_shipmode FROM lineitem)
+)
+"""
+
+
+@query("WITH" + CODE + "SELECT fqn, count(*) AS n, count(DISTINCT regexp_extract(file, '((?:apps|libs)/[^/]+)', 1)) AS owners FROM s GROUP BY fqn HAVING count(*) > 1")
+def code_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that several symbols have, with how many owners."""
+    from loomgraph.plans.codeintel import self_check
+
+    return self_check(projection.code_tables(spark, sf_dir))[1].select("fqn", "n", "owners")
+
+
+@query("WITH" + CODE + "SELECT id, fqn, file, line::INTEGER AS line FROM s WHERE fqn = 'ring' OR contains(fqn, 'ring') ORDER BY CASE kind WHEN 'method' THEN 0 WHEN 'class' THEN 1 ELSE 2 END, length(fqn), fqn, file, line LIMIT 10")
+def code_resolve_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.plans.codeintel import resolve_symbol
+
+    return resolve_symbol(projection.code_tables(spark, sf_dir), "ring").select("id", "fqn", "file", "line")
+
+
+@query("WITH" + CODE + "SELECT fqn, quality_score FROM s WHERE kind = 'class' ORDER BY quality_score DESC, file, line LIMIT 3")
+def code_blueprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.plans.codeintel import blueprint
+
+    return blueprint(projection.code_tables(spark, sf_dir), "class").select("fqn", "quality_score")
+
+
+@query("WITH" + CODE + "SELECT caller AS \"by\", file, line::INTEGER AS line FROM c WHERE callee = 'Supplier7' OR ends_with(callee, '.Supplier7') OR contains(callee, 'Supplier7') ORDER BY file, line, caller LIMIT 50")
+def code_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.plans.codeintel import references
+
+    return references(projection.code_tables(spark, sf_dir), "Supplier7").select("by", "file", "line")
+
+
+@query("WITH" + CODE + "SELECT receiver, count(*) AS n FROM c WHERE callee_id IS NULL GROUP BY receiver ORDER BY n DESC, receiver LIMIT 10")
+def code_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.plans.codeintel import diagnostics
+
+    return diagnostics(projection.code_tables(spark, sf_dir))[1].select("receiver", "n")
+
+
+@query()
+def code_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls that one symbol makes, and those that they make, in order."""
+    from loomgraph.plans.codeintel import trace
+
+    steps = trace(projection.code_tables(spark, sf_dir), "Brand#7.")
+    return spark.createDataFrame([(n, s["depth"], s["caller"], s["callee"]) for n, s in enumerate(steps)], "n int, depth int, caller string, callee string")
+
+
+@query(
+    """WITH e AS (SELECT doc_id, quality, toxic FROM labels), r AS (SELECT doc_id, lang, source, n_chars / 10000 AS score FROM documents),
+h AS (SELECT e.*, coalesce(bool_or(score >= 0.05 AND lang IN ('en', 'fr') AND contains(lower(source), 'src1')), FALSE) AS hit FROM e LEFT JOIN r USING (doc_id) GROUP BY ALL)
+SELECT quality::VARCHAR AS project, toxic::VARCHAR AS category, count(*) AS n, count(*) FILTER (WHERE hit) AS n_hit, avg(hit::INT) AS rate FROM h GROUP BY ROLLUP (quality, toxic)"""
+)
+def eval_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of golden queries by project and category, with subtotals."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("query_id"), F.col("quality").cast("string").alias("project"), F.col("toxic").cast("string").alias("category"))
+    expected = labels.select("*", F.array(F.lit("en"), F.lit("fr")).alias("kinds"), F.array(F.lit("SRC1")).alias("labels"), F.lit(0.05).alias("min_score"))
+    results = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("query_id"), F.col("lang").alias("kind"), F.col("source").alias("label"), (F.col("n_chars") / 10000).alias("score"))
+    return search.hit_rate(results, expected)
+
+
+@query(
+    """WITH s AS (SELECT source AS file, max_by(lang, doc_id) AS site FROM documents GROUP BY source) SELECT l.doc_id, d.source AS file, s.site FROM labels l JOIN documents d USING (doc_id) LEFT JOIN s ON s.file = d.source"""
+)
+def lookup_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Truth rows with the last site of their key, which they may share."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("file"), "lang")
+    truth = table(spark, sf_dir, "labels").select("doc_id").join(docs.select("doc_id", "file"), "doc_id")
+    return match.lookup_match(truth, docs.withColumnRenamed("doc_id", "at"), ["file"], F.col("at")).select("doc_id", "file", F.col("site.lang").alias("site"))
+
+
+@query("WITH" + SUPPLY + ", e AS (SELECT * FROM access UNION ALL SELECT * FROM relation) SELECT kind, count(*) AS n, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM e GROUP BY kind")
+def slice_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of the database domain."""
+    part = G.slice_domain(projection.supply_graph(spark, sf_dir), "typeorm")
+    return part.edges.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
+
+
+@query(
+    r"""WITH b AS (SELECT doc_id::VARCHAR AS id, regexp_replace(source, '[^A-Za-z0-9_]', '_', 'g') AS base FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY id) AS n FROM b)
+SELECT id, CASE WHEN n = 1 THEN base ELSE base || '_' || n END AS safe, n > 1 AS collides FROM n"""
+)
+def safe_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of letters and digits with suffixes where several come to the same."""
+    from loomgraph.operators.render import numbered_ids
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.regexp_replace("source", "[^A-Za-z0-9_]", "_").alias("base"))
+    return numbered_ids(docs).select("id", "safe", F.col("collides"))
+
+
+@query()
+def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections and chunks of all documents, taken as Markdown."""
+    from loomgraph.operators.docs import split_markdown
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), "text")
+    return split_markdown(docs).select("file", "heading_level", "start_line", "end_line", "chunk_index", "chunk_of", "token_count", "char_count")
+
+
+@query()
+def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search records of all documents, embedded offline."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("kind"), F.col("source").alias("label"), F.lit("").alias("path"), F.col("text").alias("snippet"), F.col("doc_id").alias("ord"))
+    return index.build_index(docs, None, "hashing").select("node_id", "content_hash", F.size("vector").alias("dim"))
