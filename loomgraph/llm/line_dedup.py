@@ -98,23 +98,16 @@ def _near(scratch: Scratch, rows: DataFrame, first: DataFrame) -> DataFrame:
     ranked = text.select("__id", "__h", "line_no", _line_words(F.col("line")).alias("w")).orderBy("__id", "__h", "line_no").withColumn("rank", F.monotonically_increasing_id())
     ranked = scratch.keep(ranked, "ranked")
     scratch.release()
-    # A variant's key is a sum over the words left of a hash of the word and its place there,
-    # so all variants of a line come from running sums, in time linear in the line.
+    # A variant's key is an exclusive or over the words left of a hash of the word and its place
+    # there, so all variants of a line come from running ones, in time linear in the line.
     word = ranked.select("rank", F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
-
-    def part(seed: int, place: Column) -> Column:
-        return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("word"), place), 24)
-
-    order = W.partitionBy("rank").orderBy("i")
-    before, after = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(W.unboundedPreceding, 0)
-    none = F.lit(0).cast("long")
-    for seed in (1, 2):
-        word = word.withColumn(f"here{seed}", part(seed, F.col("i"))).withColumn(f"left{seed}", part(seed, F.col("i") - 1))
-    total = W.partitionBy("rank")
-    key = lambda n, *sums: F.xxhash64(n, *sums)
-    without = [F.coalesce(F.sum(f"here{s}").over(before), none) + F.sum(f"left{s}").over(total) - F.sum(f"left{s}").over(after) for s in (1, 2)]
-    variants = word.select("rank", "i", key(F.col("n") - 1, *without).alias("k"))
-    whole = word.groupBy("rank").agg(F.first("n").alias("n"), *[F.sum(f"here{s}").alias(f"s{s}") for s in (1, 2)]).select("rank", F.lit(-1).alias("i"), key(F.col("n"), F.col("s1"), F.col("s2")).alias("k"))
+    word = word.select("rank", "n", "i", F.xxhash64("word", "i").alias("here"), F.xxhash64("word", F.col("i") - 1).alias("left"))
+    line = W.partitionBy("rank")
+    order = line.orderBy("i")
+    before = F.coalesce(F.bit_xor("here").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    after = F.bit_xor("left").over(line).bitwiseXOR(F.bit_xor("left").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    variants = word.select("rank", "i", F.xxhash64(F.col("n") - 1, before.bitwiseXOR(after)).alias("k"))
+    whole = word.groupBy("rank").agg(F.first("n").alias("n"), F.bit_xor("here").alias("x")).select("rank", F.lit(-1).alias("i"), F.xxhash64("n", "x").alias("k"))
     every = scratch.keep(variants.union(whole), "variants")
     scratch.release()
     least = every.groupBy("k").agg(F.min("rank").alias("to"), F.max("rank").alias("most"), F.min_by("i", "rank").alias("to_i")).filter("`to` < most").select("k", "to", "to_i")
