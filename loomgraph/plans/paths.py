@@ -42,7 +42,9 @@ def bfs_levels(edges: DataFrame, start: str, target: str | None = None, max_dept
         frontier = materialize(ordered)
         if frontier.isEmpty():
             break
-        seen = materialize(seen.unionByName(frontier))
+        # Levels are read where they lie; every tenth time they are put together.
+        seen = seen.unionByName(frontier)
+        seen = materialize(seen) if depth % 10 == 0 else seen
         if target is not None and not frontier.filter(F.col("node") == target).isEmpty():
             break
     return seen
