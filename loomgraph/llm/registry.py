@@ -10,7 +10,7 @@ from loomgraph.llm.near_dedup import OP4_SQL, op4_minhash_near_dedup
 from loomgraph.llm.paragraph_dedup import op9_paragraph_dedup
 from loomgraph.llm.quality import op1_quality_classifier
 from loomgraph.llm.secrets import OP3_SQL, op3_secret_scan
-from loomgraph.llm.suffix_dedup import op7_suffix_dedup
+from loomgraph.llm.suffix_dedup import OP7_SQL, op7_suffix_dedup
 from loomgraph.llm.url_filter import OP2_SQL, op2_url_filter
 
 QUERIES = {
@@ -32,5 +32,6 @@ ORACLE_SQL = {
     "op4_minhash_near_dedup": OP4_SQL,
     "op5_decontamination": OP5_SQL,
     "op6_line_dedup": OP6_SQL,
+    "op7_suffix_dedup": OP7_SQL,
     "op8_source_mix": OP8_SQL,
 }

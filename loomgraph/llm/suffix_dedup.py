@@ -321,3 +321,20 @@ def remove_repeats(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", t
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP7_SQL = """
+WITH d AS (SELECT row_number() OVER () AS key, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT key, p, md5(substr(h, 2 * p + 1, 400)) AS m FROM d, unnest(range(0, greatest(length(h) // 2 - 199, 0))) AS x(p)),
+c AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+g AS (SELECT key, p, lag(p) OVER (PARTITION BY key ORDER BY p) AS q FROM w JOIN c USING (m)),
+r AS (SELECT key, p, sum((q IS NULL OR p > q + 200)::INT) OVER (PARTITION BY key ORDER BY p) AS run FROM g),
+s AS (SELECT key, min(p) AS a, max(p) + 200 AS b FROM r GROUP BY key, run),
+t AS (SELECT key, a, b, coalesce(lag(b) OVER (PARTITION BY key ORDER BY a), 0) AS prev FROM s),
+k AS (
+  SELECT key, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) || substr(max(h), 2 * max(b) + 1) AS kept
+  FROM t JOIN d USING (key) GROUP BY key
+)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN k USING (key)
+"""
