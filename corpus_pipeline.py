@@ -43,7 +43,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group at similarity 0.8 stays: the one with the smallest id, once if its row is repeated."""
     scratch = Scratch(spark, "near-stage")
     found = scratch.keep(near_duplicates(docs, percent=80), "found")
-    unique = docs.dropDuplicates(["doc_id"]) if scratch.keep(found.groupBy("doc_id").count().filter("count > 1"), "repeated").limit(1).count() else docs
+    unique = docs.dropDuplicates(["doc_id", "text"]) if scratch.keep(found.groupBy("doc_id").count().filter("count > 1"), "repeated").limit(1).count() else docs
     return _without(unique, found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).filter("NOT kept"))
 
 
