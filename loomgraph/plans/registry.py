@@ -10,7 +10,7 @@ from loomgraph.functions import names
 from loomgraph.operators import index, match, search
 from loomgraph.plans import graph as G
 from loomgraph.plans import paths, projection
-from loomgraph.sources.tables import table
+from loomgraph.sources.tables import materialize, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -153,10 +153,15 @@ def assemble_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.assemble(nodes, edges).nodes.select("id", "label", "path", "ord")
 
 
+def _at_rest(graph: G.Graph) -> G.Graph:
+    """Walks read the edges once a level: a projected graph is written before."""
+    return G.Graph(graph.nodes.select("id"), materialize(graph.edges.select("src", "dst", "kind", "ord")))
+
+
 @query()
 def bfs_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hops of the shortest path from a customer to a region, with ties by the order in which edges were seen."""
-    graph = projection.trade_graph(spark, sf_dir)
+    graph = _at_rest(projection.trade_graph(spark, sf_dir))
     path = paths.find_path(graph, "customer:1", "supplier:1")
     rows = [(n, h["from"], h["to"], h["kind"]) for n, h in enumerate(path.edges)]
     return spark.createDataFrame(rows, "hop int, src string, dst string, kind string")
@@ -169,7 +174,8 @@ def bfs_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 ) SELECT node, min(depth)::INTEGER AS depth FROM walk GROUP BY node"""
 )
 def reachability_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.bfs_levels(projection.trade_graph(spark, sf_dir).edges, "customer:1", max_depth=5).select("node", "depth")
+    graph = _at_rest(projection.trade_graph(spark, sf_dir))
+    return paths.bfs_levels(graph.edges, "customer:1", max_depth=5).select("node", "depth")
 
 
 @query(
