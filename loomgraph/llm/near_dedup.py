@@ -15,7 +15,13 @@
    their pairs are then sorted in ``MORE`` further orders of their signature values, and
    what these propose between different components is verified as well. A link at the
    threshold shares a whole sequence in an order with probability 0.27, so all 56 orders
-   separate it with probability 2e-8; work stays linear in the region's size.
+   separate it with probability 2e-8; work stays linear in the region's size. An order
+   doesn't propose all pairs of a part that ties in all its values, as the copies around one
+   original do; these are left to the next step.
+5. Regions that still hold several components are searched exactly: each node outside the
+   region's largest component is held against all others by the rarest shingles of both,
+   of which two texts at the threshold must share one, and what meets is compared on full
+   sets. A pair is compared in the first of the regions that it shares.
 """
 
 from __future__ import annotations
@@ -37,6 +43,8 @@ LEAF, SMALL, UNIT, NEXT = 24, 8, 256, 3
 MORE = 42
 #: Rows of one region held at a time.
 HELD = 1 << 16
+#: Step 5 holds so many nodes at a time, and runs so many others of a region by them in one task.
+LEFT, RIGHT = 1024, 8192
 #: Two bits of each signature value go into the sketch: 112 values in 28 bytes.
 SKETCH = TREES * DEPTH // 4
 NO_ID = (1 << 63) - 1
@@ -127,7 +135,7 @@ def _proposer(least: float):
             node, n, rest, sketch, component = (np.concatenate(x) for x in zip(*parts, strict=True))
             region = _Region(key[0], key[1], node, n, rest, sketch, component, least)
             region.split()
-            if len(node) > LEAF:
+            if len(node) > LEAF or held_no:
                 region.found.append((np.arange(len(node)), np.arange(len(node)), 0))
             if not region.found:
                 return None
@@ -247,6 +255,116 @@ def _once(proposed: DataFrame) -> DataFrame:
     return proposed.filter("a <> b").groupBy("a", "b").agg(F.min("unit").alias("unit"))
 
 
+class _Left:
+    """Nodes outside the largest component of a region; ``meet`` links them with the others that pass by."""
+
+    def __init__(self, tree: int, node: list[int], component: list[int], roots: list[np.ndarray], sets: list[np.ndarray], percent: int) -> None:
+        self.tree, self.percent = tree, percent
+        self.node, self.component, self.roots = np.array(node), np.array(component), np.array(roots)
+        self.now: dict[int, int] = {}
+        self.n = np.array([len(x) for x in sets])
+        self.at = np.concatenate([[0], np.cumsum(self.n)])
+        self.values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        self.rank = np.empty(len(self.values), np.int64)
+        self.rank[np.lexsort((self.values, counts))] = np.arange(len(self.values))
+        self.ranks = self.rank[inverse]
+        parts = [np.sort(self.ranks[a:b])[: self.rare(b - a)] for a, b in zip(self.at[:-1], self.at[1:], strict=True)]
+        token, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+        order = np.argsort(token, kind="stable")
+        self.owner, self.first = owner[order], np.searchsorted(token[order], np.arange(len(self.values) + 1))
+
+    def rare(self, n: int) -> int:
+        """Of two sets at the threshold, so many of the rarest of either hold one of the other's."""
+        return int(n) - -(-self.percent * int(n) // 100) + 1
+
+    def meet(self, node: int, component: int, roots: np.ndarray, own: np.ndarray, below: bool) -> list[int]:
+        """Nodes of other components that ``own`` is linked with; with ``below``, of smaller ids only."""
+        at = np.minimum(np.searchsorted(self.values, own), len(self.values) - 1)
+        known = np.sort(self.rank[at[self.values[at] == own]])
+        rare = known[: max(0, self.rare(len(own)) - (len(own) - len(known)))]
+        met = [self.owner[self.first[t] : self.first[t + 1]] for t in rare]
+        if not met:
+            return []
+        while component in self.now:
+            component = self.now[component]
+        c = np.unique(np.concatenate(met))
+        c = c[(self.component[c] != component) & (100 * np.minimum(self.n[c], len(own)) >= self.percent * np.maximum(self.n[c], len(own)))]
+        if below:
+            c = c[self.node[c] < node]
+        c = c[~(self.roots[c, : self.tree] == roots[: self.tree]).any(axis=1)]
+        if not len(c):
+            return []
+        mark = np.zeros(len(self.values), bool)
+        mark[known] = True
+        size = self.n[c]
+        start = np.cumsum(size) - size
+        every = np.repeat(self.at[c] - start, size) + np.arange(size.sum())
+        shared = np.add.reduceat(mark[self.ranks[every]].astype(np.int64), start)
+        out = []
+        for i in c[100 * shared >= self.percent * (size + len(own) - shared)]:
+            if self.component[i] != component:
+                out.append(int(self.node[i]))
+                self.now[int(self.component[i])] = component
+                self.component[self.component == self.component[i]] = component
+        return out
+
+
+def _searcher(percent: int):
+    """What turns rows (tree, root, part, slice, other, below, node, component, roots, text), the held nodes of each key first, into links (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, left = None, [], None
+        for batch in batches:
+            data, offsets = K.text_bytes(batch.column("text"))
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("tree", "root", "part", "slice")), strict=True))
+            other, below, node, component = (batch.column(c).to_pylist() for c in ("other", "below", "node", "component"))
+            roots = np.array(batch.column("roots").to_pylist(), np.int64).reshape(len(keys), -1)
+            a, b = [], []
+            for lo, hi in K.groups(offsets):
+                hashes, at = K.shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                for i in range(lo, hi):
+                    own = hashes[at[i - lo] : at[i - lo + 1]]
+                    if keys[i] != key:
+                        key, held, left = keys[i], [], None
+                    if not len(own):
+                        continue
+                    if not other[i]:
+                        held.append((node[i], component[i], roots[i], own.copy()))
+                        continue
+                    if left is None and held:
+                        left = _Left(key[0], *map(list, zip(*held, strict=True)), percent)
+                    for x in left.meet(node[i], component[i], roots[i], own, below[i]) if left else ():
+                        a.append(min(x, node[i]))
+                        b.append(max(x, node[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _rest(scratch: Scratch, nodes: DataFrame, dense: DataFrame, known: DataFrame, texts: DataFrame, values, percent: int) -> DataFrame | None:
+    """Links between different components of regions with more than LEAF nodes, or None where no region has several."""
+    roots = F.array(*[F.xxhash64(values(F.lit(t), 0, ROOT)) for t in range(TREES)]).alias("roots")
+    inside = nodes.join(dense, "node", "left_semi").join(known, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "trees", roots)
+    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+    rows = scratch.keep(inside.select(tree, "*").select("tree", values(F.col("tree"), 0, ROOT).alias("root"), "node", "component", "roots"), "inside")
+    sizes = rows.groupBy("tree", "root", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("tree", "root").agg(F.sum("n").alias("size"), F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"), F.count(F.lit(1)).alias("parts"))
+    open_ = scratch.keep(sizes.filter((F.col("size") > LEAF) & (F.col("parts") > 1)).select("tree", "root", "main", F.ceil((F.col("size") - F.col("most")) / LEFT).cast("int").alias("n_part"), F.ceil(F.col("size") / RIGHT).cast("int").alias("n_slice")), "open")
+    if open_.isEmpty():
+        return None
+    rows = rows.join(open_, ["tree", "root"]).withColumn("outside", F.col("component") != F.col("main"))
+    mine = F.pmod(F.xxhash64("node"), F.col("n_part")).cast("int")
+    at = F.pmod(F.xxhash64("node", F.lit(1)), F.col("n_slice")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    held = rows.filter("outside").select("tree", "root", mine.alias("part"), every(F.col("n_slice")).alias("slice"), F.lit(False).alias("other"), F.lit(False).alias("below"), "node", "component", "roots")
+    # Two nodes outside meet once: the one of the later part passes by, or of one part the one with the larger id.
+    last = F.when(F.col("outside"), mine).otherwise(F.col("n_part") - 1)
+    passing = rows.withColumn("mine", mine).withColumn("slice", at).select("tree", "root", every(last + 1).alias("part"), "slice", F.lit(True).alias("other"), "outside", "mine", "node", "component", "roots")
+    passing = passing.select("tree", "root", "part", "slice", "other", (F.col("outside") & (F.col("mine") == F.col("part"))).alias("below"), "node", "component", "roots")
+    sent = texts.hint("merge").join(held.union(passing), "node").select("tree", "root", "part", "slice", "other", "below", "node", "component", "roots", "text")
+    dealt = sent.repartition("tree", "root", "part", "slice").sortWithinPartitions("tree", "root", "part", "slice", "other", "node")
+    return scratch.keep(dealt.mapInArrow(_searcher(percent), "a long, b long").distinct(), "rest")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """Components of documents whose shingle sets have 100 * intersection >= percent * union.
 
@@ -283,7 +401,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         rows_again = nodes.join(dense, "node", "left_semi").join(known, "node", "left").select("node", F.col("n_shingles").cast("int"), "sketch", "trees", F.coalesce("component", "node").alias("component"))
         again = scratch.keep(_once(_proposed(rows_again.mapInArrow(_more_orders, _REGIONS), percent / 100)), "again")
         if not again.isEmpty():
-            known = connected_components(links.union(scratch.keep(_verified(again, texts, percent), "more-links")), scratch, "second")
+            links = links.union(scratch.keep(_verified(again, texts, percent), "more-links"))
+            known = connected_components(links, scratch, "second")
+        rest = _rest(scratch, nodes, dense, known, texts, values, percent)
+        if rest is not None and not rest.isEmpty():
+            known = connected_components(links.union(rest), scratch, "third")
     of_class = nodes.select("s1", "s2", "node").join(known, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component"))
     out = signed.join(of_class, ["s1", "s2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))

@@ -81,6 +81,22 @@ def test_near_duplicates_odd_rows(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_near_duplicates_star(spark):
+    """Copies that are alike to the original alone, whose id is in the middle."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(1200):
+        own = list(words)
+        if i != 600:
+            for k in r.sample(range(1, 39), 3):
+                own[5 * k + r.randrange(5)] = f"x{r.randrange(10**9)}"
+        rows.append((i, " ".join(own)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = near_dedup.near_duplicates(frame).collect()
+    assert {r["component_id"] for r in got} == {0} and len(got) == 1200
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 50)] + [(100, i) for i in range(101, 150)] + [(7, 7), (300, 200), (200, 300)]
     got = connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()
