@@ -4,9 +4,11 @@
    it is sent.
 2. Deletion neighbourhood: a distinct line emits a hashed key for itself and for every
    variant with one word deleted; lines with an equal key are within the bound. A line
-   needs its variants only if one half of it stands in another line as well: with one
-   word changed, either the first or the last words are as they were. Halves are hashed
-   with the line, so that only the few lines with a shared half are split into variants.
+   needs its variants only if one of three parts of it stands in another line as well: a
+   word deleted in each leaves at least one part without a deletion. If that is the middle
+   one and the words are deleted on either side of it, it stands one word further on in
+   one of the lines. Parts are hashed with the line, so that only the lines with a shared
+   part are split into variants.
 3. The deleted words are compared away: what is left of the line and of the earliest
    line with that key must be equal.
 """
@@ -28,19 +30,27 @@ def _line_words(line: Column) -> Column:
     return F.split(F.trim(line, F.lit(" \t\r")), " ")
 
 
-def _halves(w: Column) -> Column:
-    """Three hashed keys. Lines of n or n and n + 1 words that differ by one word share one of them."""
+def _parts(w: Column) -> Column:
+    """Hashed keys. Two lines of which deleting at most one word from each makes them equal share one of them."""
     n = F.size(w)
-    j = F.floor(n / 2).cast("int")
-    even = n % 2 == 0
+    j = F.floor(n / 3).cast("int")
+    # Of lines of n - 1 and n words one word apart, the first or the last j of either are alike; the longer one's j may be larger by one.
+    step = n % 3 == 0
 
     def first(k: Column) -> Column:
-        return F.xxhash64(F.lit("first"), F.slice(w, 1, F.greatest(k, F.lit(0))))
+        return F.xxhash64(F.lit("first"), F.slice(w, 1, k))
 
     def last(k: Column) -> Column:
         return F.xxhash64(F.lit("last"), F.slice(w, n - k + 1, k))
 
-    return F.array(first(j), last(n - j), F.when(even, first(j - 1)).otherwise(last(j)))
+    def middle(back: int) -> Column:
+        return F.xxhash64(F.lit("middle"), n, F.slice(w, F.greatest(j + 1 - back, F.lit(1)), n - 2 * j))
+
+    return F.array(first(j), last(j), middle(0), middle(1), F.when(step, first(j - 1)), F.when(step, last(j - 1)))
+
+
+#: Number of keys of ``_parts``.
+PARTS = 6
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -66,10 +76,10 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     rows = docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(NO_ID)).alias("__id"), docs[text].alias("__text"))
     with_words = _numbered(rows.filter("__text IS NOT NULL")).withColumn("w", _line_words(F.col("line"))).filter(F.size("w") >= least_words)
     near = F.size("w") >= near_words
-    hashed = with_words.select("__id", "__h", "line_no", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2"), F.when(near, _halves(F.col("w"))).alias("k"))
-    hashed = hashed.select("__id", "__h", "line_no", "h1", "h2", *[F.col("k")[i].alias(f"k{i}") for i in range(3)])
-    first = hashed.groupBy("h1", "h2").agg(F.min(F.struct("__id", "__h", "line_no")).alias("at"), *[F.max(f"k{i}").alias(f"k{i}") for i in range(3)])
-    first = scratch.keep(first.select("at.*", "h1", "k0", "k1", "k2"), "first")
+    hashed = with_words.select("__id", "__h", "line_no", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2"), F.when(near, _parts(F.col("w"))).alias("k"))
+    hashed = hashed.select("__id", "__h", "line_no", "h1", "h2", *[F.col("k")[i].alias(f"k{i}") for i in range(PARTS)])
+    first = hashed.groupBy("h1", "h2").agg(F.min(F.struct("__id", "__h", "line_no")).alias("at"), *[F.max(f"k{i}").alias(f"k{i}") for i in range(PARTS)])
+    first = scratch.keep(first.select("at.*", "h1", *[f"k{i}" for i in range(PARTS)]), "first")
     scratch.release()
     later = _near(scratch, rows, first)
     stay = first.join(later, ["__id", "__h", "line_no"], "left_anti").groupBy("__id", "__h").agg(F.collect_list("line_no").alias("__stay"))
@@ -90,9 +100,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
 
 def _near(scratch: Scratch, rows: DataFrame, first: DataFrame) -> DataFrame:
     """(__id, __h, line_no) of distinct lines that a variant ties to an earlier one."""
-    halves = first.filter("k0 IS NOT NULL").select("__id", "__h", "line_no", "h1", F.explode(F.array("k0", "k1", "k2")).alias("k"))
-    shared = halves.groupBy("k").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).filter("x <> y").select("k")
-    some = halves.join(shared, "k", "left_semi").select("__id", "__h", "line_no").distinct()
+    parts = first.filter("k0 IS NOT NULL").select("__id", "__h", "line_no", "h1", F.explode(F.array_compact(F.array(*[f"k{i}" for i in range(PARTS)]))).alias("k"))
+    shared = parts.groupBy("k").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).filter("x <> y").select("k")
+    some = parts.join(shared, "k", "left_semi").select("__id", "__h", "line_no").distinct()
     text = _numbered(rows.filter("__text IS NOT NULL")).join(some, ["__id", "__h", "line_no"]).dropDuplicates(["__id", "__h", "line_no"])
     # Range partitions are in order, and so are these numbers.
     ranked = text.select("__id", "__h", "line_no", _line_words(F.col("line")).alias("w")).orderBy("__id", "__h", "line_no").withColumn("rank", F.monotonically_increasing_id())

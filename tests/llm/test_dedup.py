@@ -139,6 +139,19 @@ def test_lines(spark):
     assert line_dedup.dedup_lines(twice).count() == 3
 
 
+def test_lines_with_two_places(spark):
+    """A moved word, and a first word left out with another one put at the end; no other line is near these."""
+    rows = []
+    for n in range(8, 15):
+        w = [f"n{n}w{i}" for i in range(n)]
+        rows += [(10 * n, " ".join(w)), (10 * n + 1, " ".join([*w[1:], "new"])), (10 * n + 2, " ".join([w[0], *w[2:-1], w[1], w[-1]]))]
+        v = [f"n{n}v{i}" for i in range(n)]
+        rows += [(10 * n + 4, " ".join(v)), (10 * n + 5, " ".join(v[: n // 2] + v[n // 2 + 1 :]))]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["text"], r["n_removed"]) for r in got} == dedup_plain(rows)
+    assert sum(r["n_removed"] for r in got) == 20  # the line of 8 words with one left out is too short for the near comparison
+
+
 def covered(rows, length):
     data = [(i, (t or "").encode()) for i, t in rows]
     seen = {}
