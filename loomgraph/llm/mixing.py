@@ -7,8 +7,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table of rates of up to so many sources (about 1 KB each) is broadcast; a larger one is joined by a shuffle.
-BROADCAST_SOURCES = 10_000
+#: A table of rates of up to so many sources and thresholds (8 bytes each) is broadcast; a larger one is joined by a shuffle.
+BROADCAST_SOURCES, BROADCAST_THRESHOLDS = 10_000, 1 << 20
+#: exp(-rate) is a normal double up to here; a larger rate is parted into equal ones, whose counts are added.
+MOST_RATE = 700.0
 
 
 def uniform(seed: int, *cols: Column) -> Column:
@@ -30,13 +32,14 @@ def _thresholds(rate: Column) -> Column:
     return F.aggregate(steps, start, step, lambda acc: acc["out"])
 
 
-def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, power: float = 0.5, source: str = "source", size: float = 1.0, max_rate: float = 100.0) -> DataFrame:
+def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, power: float = 0.5, source: str = "source", size: float = 1.0, max_rate: float | None = None) -> DataFrame:
     """(source, n, rate): mean repetitions that bring each source to its share of the mixture.
 
     Shares are in proportion to ``weights`` (a source without one gets none) or, without
     weights, to the source's documents to the power ``power``. The mixture has ``size``
-    times as many documents as the input. A null source is a source of its own. Rates end
-    at ``max_rate``: beyond it a source is repeated that often and falls short of its share.
+    times as many documents as the input. A null source is a source of its own. With
+    ``max_rate``, rates end there: beyond it a source is repeated that often and falls short
+    of its share. Without, every source gets its share.
     """
     counts = docs.groupBy(docs[source].alias("source")).agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
@@ -49,27 +52,36 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, po
     if not one["all_n"] or not one["all_share"]:
         return counts.withColumn("rate", F.lit(0.0))
     rate = F.lit(float(size) * one["all_n"] / one["all_share"]) * F.col("share") / F.col("n")
-    return shared.select("source", "n", F.least(rate, F.lit(float(max_rate))).alias("rate"))
+    return shared.select("source", "n", (rate if max_rate is None else F.least(rate, F.lit(float(max_rate)))).alias("rate"))
 
 
-def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, power: float = 0.5, seed: int = 17, doc_id: str = "doc_id", source: str = "source", size: float = 1.0) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, power: float = 0.5, seed: int = 17, doc_id: str = "doc_id", source: str = "source", size: float = 1.0, max_rate: float | None = None) -> DataFrame:
     """Repeat every document by a Poisson count of its source's rate and shuffle all copies.
 
     The count inverts the Poisson distribution at a uniform number hashed from seed and
     doc_id, so a document gets the same count wherever it is computed, and repeated rows
-    of a document get the same count each. A count of 0 leaves the document out: that is
+    of a document get the same count each. Beyond ``MOST_RATE`` it is a sum of such counts
+    of equal parts of the rate, each at a number of its own. A count of 0 leaves the document out: that is
     the sampling that the mixture asks for. Returns the columns of ``docs`` with
     ``copy`` (from 1) and ``shuffle_key``; copies are dealt to partitions by that key and
     sorted by it. Columns of those two names are replaced. Null ids hash as the empty
     string; texts aren't looked at. An empty table gives an empty one.
     """
     names = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
-    rates = source_rates(docs, weights, power, source, size).select(F.col("source").alias("__source"), _thresholds(F.col("rate")).alias("__cdf"))
+    parts = F.greatest(F.ceil(F.col("rate") / MOST_RATE), F.lit(1)).cast("int")
+    rates = source_rates(docs, weights, power, source, size, max_rate).withColumn("__parts", parts)
+    rates = rates.select(F.col("source").alias("__source"), "__parts", _thresholds(F.col("rate") / F.col("__parts")).alias("__cdf"))
     rows = docs.select(*names)
-    small = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    held = rates.agg(F.count(F.lit(1)).alias("sources"), F.sum(F.size("__cdf")).alias("thresholds")).first()  # one row
+    small = held["sources"] <= BROADCAST_SOURCES and (held["thresholds"] or 0) <= BROADCAST_THRESHOLDS
     joined = rows.join(F.broadcast(rates) if small else rates, rows[source].eqNullSafe(rates["__source"]))
-    u = uniform(seed, F.col(doc_id))
-    copies = F.size(F.filter(F.col("__cdf"), lambda c: c <= u))
+
+    def count(u: Column) -> Column:
+        return F.size(F.filter(F.col("__cdf"), lambda c: c <= u))
+
+    one = count(uniform(seed, F.col(doc_id)))
+    others = F.aggregate(F.sequence(F.lit(2), F.col("__parts")), F.lit(0), lambda n, k: n + count(uniform(seed, F.col(doc_id), F.lit("part"), k)))
+    copies = F.when(F.col("__parts") > 1, one + others).otherwise(one)
     repeated = joined.withColumn("__n", copies).filter("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     keyed = repeated.select(*names, "copy", uniform(seed + 1, F.col(doc_id), F.col("copy")).alias("shuffle_key"))
     # The key is uniform, so a hash of it deals evenly; no sample of the texts is read to find ranges.

@@ -141,3 +141,16 @@ def test_mixing(spark):
     assert {r["source"] for r in only.collect()} == {"hot"}
     keys = [r["shuffle_key"] for r in only.coalesce(1).collect()]
     assert len(set(keys)) > 0.9 * len(keys)
+
+
+def test_mixing_reaches_the_share_of_small_sources(spark):
+    rows = [(i, "mid" if i < 20 else "tiny" if i < 23 else "big") for i in range(20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    weights = {"mid": 0.3, "tiny": 0.4, "big": 0.3}
+    rates = {r["source"]: r["rate"] for r in mixing.source_rates(docs, weights).collect()}
+    assert rates["mid"] == pytest.approx(300) and rates["tiny"] == pytest.approx(8000 / 3)
+    got = Counter((r["doc_id"], r["source"]) for r in mixing.mix_sources(docs, weights).collect())
+    for s, w in weights.items():
+        assert abs(sum(n for (_, t), n in got.items() if t == s) - w * 20_000) < 6 * math.sqrt(w * 20_000)
+    assert all(got[i, "mid"] == poisson(int(hashlib.md5(f"17:{i}".encode()).hexdigest()[:13], 16) / 2**52, rates["mid"]) for i in range(20))
+    assert max(r["rate"] for r in mixing.source_rates(docs, weights, max_rate=50.0).collect()) == 50
