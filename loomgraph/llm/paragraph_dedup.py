@@ -9,12 +9,17 @@ Each paragraph has ``BANDS`` bands of one MinHash value over its five-word shing
 paragraphs at similarity 0.8 collide in one of two bands with probability 0.96, equal
 ones always, and a passage of 60 words has three or four of them. Paragraphs that collide
 are verified by exact Jaccard similarity; their components keep the earliest paragraph.
+
+Beside these pieces, lines, paragraphs between blank lines and whole short texts of
+``LEAST`` words or more are units of their own, with ``UNIT_BANDS`` bands over their full
+shingle sets: two at similarity 0.8 collide with probability 0.998, equal ones always.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +31,12 @@ from loomgraph.llm.components import connected_components
 from loomgraph.llm.store import Scratch
 
 WORDS, WINDOW, BANDS = 25, 26, 2
+#: A unit that is alike at 0.8 to one of WORDS words has LEAST or more.
+LEAST, UNIT_BANDS = 20, 4
 #: A bucket of so many wordings is compared pair by pair, a larger one by its rarest shingles.
 FEW = 8
 _LOW = (1 << 24) - 1
-_PARAGRAPH = "doc_id long, th long, start int, size int, wh long, m0 long, m1 long"
+_PARAGRAPH = "doc_id long, th long, start int, size int, wh long, m0 long, m1 long, m2 long, m3 long"
 
 
 def paragraphs(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
@@ -66,14 +73,46 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return out | {f"m{b}": K.mix((shingles * turns[b]).min(axis=1) + K.U64(b)).view(np.int64) for b in range(BANDS)}
 
 
+def units(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+    """The same of every line, paragraph between blank lines and whole text too short to be sure of a piece."""
+    low = K.ASCII_LOWER[data]
+    starts, ends, first = K.word_ranges(low, offsets)
+    if not len(starts):
+        return {}
+    line = np.searchsorted(np.flatnonzero(low == 10), starts)
+    text = np.searchsorted(first, np.arange(len(starts)), "right") - 1
+    gap, other = np.diff(line), np.diff(text) > 0
+    at = [np.concatenate([[0], np.flatnonzero(other | (gap >= n)) + 1, [len(starts)]]) for n in (1, 2)]
+    short = np.flatnonzero(np.diff(first) < WINDOW + WORDS)
+    ranges = np.concatenate([np.stack([x[:-1], x[1:]], 1) for x in at] + [np.stack([first[short], first[short + 1]], 1)])
+    ranges = np.unique(ranges[ranges[:, 1] - ranges[:, 0] >= LEAST], axis=0)
+    if not len(ranges):
+        return {}
+    a, b = ranges[:, 0], ranges[:, 1]
+    words = K.range_hashes(K.prefix_hashes(low), starts, ends)
+    prefix = np.concatenate([np.zeros(1, K.U64), np.cumsum(words * K.powers(K.BASE, len(words)))])
+    factors = K.random_words(WORDS, 53) | K.U64(1)
+    n = len(words) - K.SHINGLE + 1
+    shingles = np.zeros(n, K.U64)
+    for j in range(K.SHINGLE):
+        shingles += words[j : j + n] * factors[j]
+    shingles = np.append(K.mix(shingles), K.U64(0))
+    cuts = np.stack([a, b - K.SHINGLE + 1], 1).ravel()
+    turns = K.random_words(UNIT_BANDS, 59) | K.U64(1)
+    out = {"text": text[a], "start": starts[a] - offsets[text[a]], "size": ends[b - 1] - starts[a], "wh": K.mix(K.range_hashes(prefix, a, b) + (b - a).astype(K.U64)).view(np.int64)}
+    return out | {f"m{k}": K.mix(np.minimum.reduceat(shingles * turns[k], cuts)[::2] + K.U64(k)).view(np.int64) for k in range(UNIT_BANDS)}
+
+
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = K.text_bytes(batch.column(2))
         for lo, hi in K.groups(offsets):
-            found = paragraphs(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            if found:
-                text = pa.array(found["text"] + lo)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(text), batch.column(1).take(text), pa.array(found["start"].astype(np.int32)), pa.array(found["size"].astype(np.int32)), *(pa.array(found[c]) for c in ("wh", "m0", "m1"))], ["doc_id", "th", "start", "size", "wh", "m0", "m1"])
+            own = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+            for found in (paragraphs(*own), units(*own)):
+                if found:
+                    text = pa.array(found["text"] + lo)
+                    bands = [pa.array(found[f"m{k}"]) if f"m{k}" in found else pa.nulls(len(text), pa.int64()) for k in range(UNIT_BANDS)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(text), batch.column(1).take(text), pa.array(found["start"].astype(np.int32)), pa.array(found["size"].astype(np.int32)), pa.array(found["wh"]), *bands], ["doc_id", "th", "start", "size", "wh", *(f"m{k}" for k in range(UNIT_BANDS))])
 
 
 def similar_pairs(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
@@ -149,12 +188,13 @@ def _verifier(least: float):
 def repeated_paragraphs(docs: DataFrame, least: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Paragraphs that repeat an earlier one, in this or another document.
 
-    Words are runs of other than blank characters with A-Z lower-cased; a paragraph has
-    25 of them. Paragraphs are alike with a Jaccard similarity of ``least`` or more between
+    Words are runs of other than blank characters with A-Z lower-cased; a paragraph is
+    25 of them, cut by content, or a line, a run of lines between blank ones or a whole text
+    of up to 50 words, of 20 words or more; so rows of one text may overlap. Paragraphs are alike with a Jaccard similarity of ``least`` or more between
     their sets of five-word shingles; within one text only equal ones are looked for. Of each component of alike paragraphs the earliest, by
     doc_id and place, stays, with those that overlap it. Returns a row for each other one: doc_id, start and size (UTF-8
     bytes), component (an id of the component) and kept_in, the doc_id of the one that stays.
-    Null and empty texts and texts of fewer than 25 words have no paragraphs. A null doc_id
+    Null and empty texts and texts of fewer than 20 words have no paragraphs. A null doc_id
     comes last. Rows that repeat a doc_id and its text are one document; with other texts
     they come in the order of their hashes. Other columns aren't looked at.
     """
@@ -162,21 +202,23 @@ def repeated_paragraphs(docs: DataFrame, least: float = 0.8, doc_id: str = "doc_
     no_id = (1 << 63) - 1
     rows = docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(no_id)).alias("doc_id"), F.xxhash64(docs[text]).alias("th"), docs[text].alias("text"))
     every = scratch.keep(rows.filter("text IS NOT NULL").mapInArrow(_cutter, _PARAGRAPH), "paragraphs")
-    place = F.xxhash64("doc_id", "th", "start")
+    place = F.xxhash64("doc_id", "th", "start", "size")
     equal = every.select("wh", place.alias("place")).groupBy("wh").agg(F.min("place").alias("x"), F.max("place").alias("y")).filter("x <> y").select("wh")
     equal = scratch.keep(equal, "equal")
     scratch.release()
-    # One band after the other, so that one shuffle of all paragraphs is on disk at a time.
-    met = [_collisions(scratch, every, f"m{b}") for b in range(BANDS)]
+    # One band after the other, so that one shuffle of paragraphs or texts is on disk at a time.
     cut = F.expr("substring(cast(text as binary), start + 1, size)").alias("bytes")
-    sent = rows.filter("text IS NOT NULL").hint("merge").join(met[0].union(met[1]), ["doc_id", "th"]).select("key", "wh", cut)
-    sent = scratch.keep(sent.dropDuplicates(["key", "wh"]), "sent")
-    for table in met:
-        scratch.drop(table)
-    scratch.release()
-    links = scratch.keep(sent.repartition("key").sortWithinPartitions("key", "wh").mapInArrow(_verifier(least), "a long, b long").distinct(), "links")
-    scratch.drop(sent)
-    scratch.release()
+    linked = []
+    for b in range(UNIT_BANDS):
+        met = _collisions(scratch, every, f"m{b}")
+        sent = rows.filter("text IS NOT NULL").hint("merge").join(met, ["doc_id", "th"]).select("key", "wh", cut)
+        sent = scratch.keep(sent.dropDuplicates(["key", "wh"]), f"sent-{b}")
+        scratch.drop(met)
+        scratch.release()
+        linked.append(scratch.keep(sent.repartition("key").sortWithinPartitions("key", "wh").mapInArrow(_verifier(least), "a long, b long").distinct(), f"links-{b}"))
+        scratch.drop(sent)
+        scratch.release()
+    links = scratch.keep(reduce(DataFrame.union, linked).distinct(), "links")
     known = connected_components(links, scratch).withColumnRenamed("node", "wh")
     ends = known.select("wh", "component").union(known.select(F.col("component").alias("wh"), "component")).distinct()
     nodes = equal.join(ends, "wh", "full").select("wh", F.coalesce("component", "wh").alias("component"))
@@ -195,6 +237,7 @@ def repeated_paragraphs(docs: DataFrame, least: float = 0.8, doc_id: str = "doc_
 
 def _collisions(scratch: Scratch, every: DataFrame, band: str) -> DataFrame:
     """(key, wh, doc_id, th, start, size): one paragraph for each different words of a bucket that two texts and two wordings are in."""
+    every = every.filter(F.col(band).isNotNull())
     own = every.select(F.col(band).alias("key"), F.xxhash64("doc_id", "th").alias("doc"), "wh")
     mixed = own.groupBy("key").agg(F.min("doc").alias("x"), F.max("doc").alias("y"), F.min("wh").alias("u"), F.max("wh").alias("v")).filter("x <> y AND u <> v").select("key")
     mixed = scratch.keep(mixed, f"mixed-{band}")
@@ -202,6 +245,7 @@ def _collisions(scratch: Scratch, every: DataFrame, band: str) -> DataFrame:
     hits = every.select(F.col(band).alias("key"), "wh", "doc_id", "th", "start", "size").join(mixed, "key")
     found = hits.groupBy("key", "wh").agg(F.min(F.struct("doc_id", "th", "start", "size")).alias("at")).select("key", "wh", "at.*")
     found = scratch.keep(found, f"met-{band}")
+    scratch.drop(mixed)
     scratch.release()
     return found
 

@@ -225,6 +225,21 @@ def test_paragraphs(spark):
     assert paragraph_dedup.repeated_paragraphs(frame.limit(0)).count() == 0
 
 
+def test_short_paragraphs(spark):
+    """Equal lines, blank-line paragraphs and whole texts of 25 to 45 words, and near ones."""
+    r = random.Random(12)
+    unique = lambda n: " ".join(f"u{r.randrange(10**9)}" for _ in range(n))
+    rows, want = [], set()
+    for n in (25, 26, 30, 35, 40, 45) * 3:
+        x = unique(n)
+        wrapped = x.replace(" ", "\n", 9)
+        for copy in (unique(30) + "\n" + x + "\n" + unique(40), unique(20) + "\n\n" + wrapped + "\n \n" + unique(30), x, x.rsplit(" ", 1)[0] + "\n\n" + unique(30)):
+            rows.append((len(rows), copy))
+        want |= {len(rows) - 3, len(rows) - 2, len(rows) - 1}
+    got = paragraph_dedup.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {g["doc_id"] for g in got} == want and all(g["kept_in"] == g["doc_id"] // 4 * 4 for g in got)
+
+
 def hits_plain(docs, items, window):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     found = []
