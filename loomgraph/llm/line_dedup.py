@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.llm.store import Scratch
+from loomgraph.llm.store import Scratch, spare
 
 #: Lines of fewer words always stay; lines of fewer than NEAR_WORDS words are compared exactly only.
 LEAST_WORDS, NEAR_WORDS = 3, 8
@@ -53,11 +53,6 @@ def _parts(w: Column) -> Column:
 PARTS = 6
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """doc_id, hash of the text, line_no and line; the first three tell a line wherever they are computed."""
-    return docs.select("__id", F.xxhash64("__text").alias("__h"), F.posexplode(F.split("__text", "\n")).alias("line_no", "line"))
-
-
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """Texts without the lines that an earlier line repeats.
 
@@ -73,40 +68,51 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    rows = docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(NO_ID)).alias("__id"), docs[text].alias("__text"))
-    with_words = _numbered(rows.filter("__text IS NOT NULL")).withColumn("w", _line_words(F.col("line"))).filter(F.size("w") >= least_words)
+    rows = docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(docs[text]).alias("th"), docs[text].alias("text")).filter("text IS NOT NULL")
+    lines = rows.select("id", "th", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    with_words = lines.withColumn("w", _line_words(F.col("line"))).filter(F.size("w") >= least_words)
     near = F.size("w") >= near_words
-    hashed = with_words.select("__id", "__h", "line_no", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2"), F.when(near, _parts(F.col("w"))).alias("k"))
-    hashed = hashed.select("__id", "__h", "line_no", "h1", "h2", *[F.col("k")[i].alias(f"k{i}") for i in range(PARTS)])
-    first = hashed.groupBy("h1", "h2").agg(F.min(F.struct("__id", "__h", "line_no")).alias("at"), *[F.max(f"k{i}").alias(f"k{i}") for i in range(PARTS)])
+    hashed = with_words.select("id", "th", "line_no", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2"), F.when(near, _parts(F.col("w"))).alias("k"))
+    hashed = hashed.select("id", "th", "line_no", "h1", "h2", *[F.col("k")[i].alias(f"k{i}") for i in range(PARTS)])
+    first = hashed.groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "line_no")).alias("at"), *[F.max(f"k{i}").alias(f"k{i}") for i in range(PARTS)])
     first = scratch.keep(first.select("at.*", "h1", *[f"k{i}" for i in range(PARTS)]), "first")
     scratch.release()
     later = _near(scratch, rows, first)
-    stay = first.join(later, ["__id", "__h", "line_no"], "left_anti").groupBy("__id", "__h").agg(F.collect_list("line_no").alias("__stay"))
+    stay = scratch.keep(first.join(later, ["id", "th", "line_no"], "left_anti").groupBy("id", "th").agg(F.collect_list("line_no").alias("stay")), "stay")
+    scratch.drop(first)
+    scratch.drop(later)
+    scratch.release()
     # Rebuild the texts.
-    keyed = docs.select(*[docs[c] for c in names], F.coalesce(docs[doc_id].cast("long"), F.lit(NO_ID)).alias("__id"), F.xxhash64(docs[text]).alias("__h"))
-    lines = F.split(F.col(text), "\n")
-    joined = keyed.join(stay, ["__id", "__h"], "left").withColumn("__lines", lines)
-    every = F.sequence(F.lit(0), F.size("__lines") - 1)
-    judged = F.filter(every, lambda i: F.size(_line_words(F.get("__lines", i))) >= least_words)
-    gone = F.array_except(judged, F.coalesce("__stay", F.array().cast("array<int>")))
-    out = joined.withColumn("__gone", F.when(F.col("__lines").isNotNull(), gone))
-    n_gone = F.coalesce(F.size("__gone"), F.lit(0))
-    kept = F.transform(F.array_except(every, F.col("__gone")), lambda i: F.get("__lines", i))
+    id_, th, stay_, own, gone_ = spare(names, "id", "th", "stay", "lines", "gone")
+    keyed = docs.select(*[docs[c] for c in names], F.coalesce(docs[doc_id].cast("long"), F.lit(NO_ID)).alias(id_), F.xxhash64(docs[text]).alias(th))
+    joined = keyed.join(stay.toDF(id_, th, stay_), [id_, th], "left").withColumn(own, F.split(F.col(text), "\n"))
+    every = F.sequence(F.lit(0), F.size(own) - 1)
+    judged = F.filter(every, lambda i: F.size(_line_words(F.get(own, i))) >= least_words)
+    gone = F.array_except(judged, F.coalesce(stay_, F.array().cast("array<int>")))
+    out = joined.withColumn(gone_, F.when(F.col(own).isNotNull(), gone))
+    n_gone = F.coalesce(F.size(gone_), F.lit(0))
+    kept = F.transform(F.array_except(every, F.col(gone_)), lambda i: F.get(own, i))
     new = F.when(n_gone > 0, F.array_join(kept, "\n")).otherwise(F.col(text))
-    counts = [F.when(F.col("__lines").isNull(), 0).otherwise(F.size("__lines")).cast("long").alias("n_lines"), F.greatest(n_gone, F.lit(0)).cast("long").alias("n_removed")]
+    counts = [F.when(F.col(own).isNull(), 0).otherwise(F.size(own)).cast("long").alias("n_lines"), F.greatest(n_gone, F.lit(0)).cast("long").alias("n_removed")]
     return out.select(*[new.alias(c) if c == text else F.col(c) for c in names], *counts)
 
 
 def _near(scratch: Scratch, rows: DataFrame, first: DataFrame) -> DataFrame:
-    """(__id, __h, line_no) of distinct lines that a variant ties to an earlier one."""
-    parts = first.filter("k0 IS NOT NULL").select("__id", "__h", "line_no", "h1", F.explode(F.array_compact(F.array(*[f"k{i}" for i in range(PARTS)]))).alias("k"))
-    shared = parts.groupBy("k").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).filter("x <> y").select("k")
-    some = parts.join(shared, "k", "left_semi").select("__id", "__h", "line_no").distinct()
-    text = _numbered(rows.filter("__text IS NOT NULL")).join(some, ["__id", "__h", "line_no"]).dropDuplicates(["__id", "__h", "line_no"])
+    """(id, th, line_no) of distinct lines that a variant ties to an earlier one."""
+    parts = first.filter("k0 IS NOT NULL").select("id", "th", "line_no", "h1", F.explode(F.array_compact(F.array(*[f"k{i}" for i in range(PARTS)]))).alias("k"))
+    shared = scratch.keep(parts.groupBy("k").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).filter("x <> y").select("k"), "shared")
+    scratch.release()
     # Range partitions are in order, and so are these numbers.
-    ranked = text.select("__id", "__h", "line_no", _line_words(F.col("line")).alias("w")).orderBy("__id", "__h", "line_no").withColumn("rank", F.monotonically_increasing_id())
-    ranked = scratch.keep(ranked, "ranked")
+    some = scratch.keep(parts.join(shared, "k", "left_semi").select("id", "th", "line_no").distinct(), "some")
+    scratch.drop(shared)
+    scratch.release()
+    refs = scratch.keep(some.orderBy("id", "th", "line_no").withColumn("rank", F.monotonically_increasing_id()), "refs")
+    scratch.drop(some)
+    # A text is sent once for all its lines; rows that repeat it bring the same ones.
+    of_text = refs.groupBy("id", "th").agg(F.collect_list(F.struct("line_no", "rank")).alias("refs"))
+    texts = rows.hint("merge").join(of_text, ["id", "th"]).dropDuplicates(["id", "th"]).withColumn("lines", F.split("text", "\n"))
+    ranked = texts.select(F.explode(F.transform("refs", lambda r: F.struct(r["rank"].alias("rank"), F.get("lines", r["line_no"]).alias("line")))).alias("r"))
+    ranked = scratch.keep(ranked.select("r.rank", _line_words(F.col("r.line")).alias("w")), "ranked")
     scratch.release()
     # A variant's key is an exclusive or over the words left of a hash of the word and its place
     # there, so all variants of a line come from running ones, in time linear in the line.
@@ -121,17 +127,21 @@ def _near(scratch: Scratch, rows: DataFrame, first: DataFrame) -> DataFrame:
     every = scratch.keep(variants.union(whole), "variants")
     scratch.release()
     least = every.groupBy("k").agg(F.min("rank").alias("to"), F.max("rank").alias("most"), F.min_by("i", "rank").alias("to_i")).filter("`to` < most").select("k", "to", "to_i")
-    ties = every.join(least, "k").filter(F.col("rank") > F.col("to")).groupBy("rank", "to").agg(F.min(F.struct("i", "to_i")).alias("at"))
-    own = ranked.select("rank", "__id", "__h", "line_no", F.col("w").alias("w"))
+    least = scratch.keep(least, "least")
+    scratch.release()
+    ties = scratch.keep(every.join(least, "k").filter(F.col("rank") > F.col("to")).groupBy("rank", "to").agg(F.min(F.struct("i", "to_i")).alias("at")), "ties")
+    scratch.drop(every)
+    scratch.drop(least)
+    scratch.release()
     other = ranked.select(F.col("rank").alias("to"), F.col("w").alias("to_w"))
 
     def left(w: Column, i: Column) -> Column:
         return F.when(i < 0, w).otherwise(F.concat(F.slice(w, 1, F.greatest(i, F.lit(0))), F.slice(w, i + 2, F.size(w))))
 
     same = left(F.col("w"), F.col("at.i")) == left(F.col("to_w"), F.col("at.to_i"))
-    found = scratch.keep(ties.join(own, "rank").join(other, "to").filter(same).select("__id", "__h", "line_no").distinct(), "later")
-    scratch.drop(every)
-    scratch.drop(ranked)
+    found = scratch.keep(ties.join(ranked, "rank").join(other, "to").filter(same).select("rank").distinct().join(refs, "rank").select("id", "th", "line_no"), "later")
+    for done in (ties, ranked, refs):
+        scratch.drop(done)
     scratch.release()
     return found
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def spare(taken: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted column names, lengthened where they clash with taken ones in whatever case."""
+    have, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 class Scratch:
     """Tables of one operator call. ``keep`` writes and rereads, ``drop`` deletes what is no longer read."""
 
