@@ -15,6 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,13 +123,16 @@ class Model(NamedTuple):
         return np.clip(np.interp(self.waves(stats) @ self.weights[:, -1], self.knots, self.heights), 0, 1)
 
 
+_SUMS = "fold int, part int, sums binary"
+
+
 def _stats(batch: pa.RecordBatch, name: str) -> np.ndarray:
     column = batch.column(batch.schema.get_field_index(name))
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, len(STATISTICS))
 
 
 def _summer(model: Model):
-    """One row for each fold of a partition: X'X, X'y and y'y of its rows."""
+    """One row for each fold of a partition: X'X, X'y and y'y of its rows, and the partition's number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -139,11 +143,32 @@ def _summer(model: Model):
                 own = x[fold == k]
                 sums[int(k)] = sums.get(int(k), 0) + own.T @ own
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["fold", "sums"])
+            yield _sum_rows(sums, TaskContext.get().partitionId())
 
     return run
 
 
+def _sum_rows(sums: dict[int, np.ndarray], part: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([part] * len(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["fold", "part", "sums"])
+
+
+def _adder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The partition's rows of ``_summer`` added up, one for each fold."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for fold, own in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+            sums[fold] = sums.get(fold, 0) + np.frombuffer(own.as_buffer())
+    if sums:
+        yield _sum_rows(sums, TaskContext.get().partitionId())
+
+
+def _added(parts: DataFrame, n: int) -> DataFrame:
+    """A row for each fold: those of ``n`` partitions are added in groups of about the root of n, then the groups' sums by fold."""
+    groups = max(1, math.isqrt(n))
+    some = parts.repartition(FOLDS * groups, "fold", F.pmod("part", F.lit(groups))).mapInArrow(_adder, _SUMS)
+    return some.repartition(FOLDS, "fold").mapInArrow(_adder, _SUMS)
+
+
 def _grid_scores(model: Model):
     """Grid cell of each labelled row's score by the model without its fold."""
 
@@ -172,7 +197,7 @@ def isotonic(x: np.ndarray, total: np.ndarray, weight: np.ndarray) -> tuple[np.n
     return np.array([b[0] / b[2] for b in blocks]), np.maximum.accumulate([(b[1] + base) / (b[2] + 1) for b in blocks])
 
 
-def _fit(labelled: DataFrame) -> Model:
+def _fit(labelled: DataFrame, scratch: Scratch) -> Model:
     """labelled: stats, label and fold; every row of it counts. What reaches the driver has a fixed size."""
     none = Model(np.zeros(len(STATISTICS)), np.ones(len(STATISTICS)), np.zeros((WAVES + 1, FOLDS + 1)), np.zeros(0), np.zeros(0))
     column = [F.col("stats")[i].cast("double") for i in range(len(STATISTICS))]
@@ -183,9 +208,11 @@ def _fit(labelled: DataFrame) -> Model:
     model = none._replace(center=np.array([moments[f"m{i}"] for i in range(len(STATISTICS))]), scale=np.where(scale > 1e-9, scale, 1))
     size = WAVES + 2
     parts = [np.zeros((size, size)) for _ in range(FOLDS)]
-    # A row for each fold and partition of the labelled rows; partitions are those of one shuffle.
-    for row in labelled.mapInArrow(_summer(model), "fold int, sums binary").toLocalIterator():
+    summed = scratch.keep(labelled.mapInArrow(_summer(model), _SUMS), "sums")
+    last = summed.agg(F.max("part")).first()[0]  # one row
+    for row in _added(summed, 1 + last).collect():  # FOLDS rows of fixed size
         parts[row["fold"]] += np.frombuffer(row["sums"]).reshape(size, size)
+    scratch.drop(summed)
     whole = sum(parts)
 
     def solve(sums: np.ndarray, penalty: float) -> np.ndarray:
@@ -231,7 +258,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     measured = scratch.keep(docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(_measure, "doc_id long, stats array<float>"), "statistics")
     known = labels.select(labels[doc_id].cast("long").alias("doc_id"), labels[label].cast("double").alias("label")).filter("doc_id IS NOT NULL AND label IN (0, 1)").filter(~held_out(F.col("doc_id")))
     fold = (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) - 1).cast("int")
-    model = _fit(scratch.keep(measured.join(known, "doc_id").select("stats", "label", fold.alias("fold")), "labelled"))
+    labelled = scratch.keep(measured.join(known, "doc_id").select("stats", "label", fold.alias("fold")), "labelled")
+    model = _fit(labelled, scratch)
+    scratch.drop(labelled)
     scored = measured.mapInArrow(_scorer(model), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
