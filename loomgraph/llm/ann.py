@@ -97,8 +97,14 @@ def _join_up(x: np.ndarray, links: np.ndarray, most: int) -> None:
         seen = _reached(links)
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors in double precision, each by the power of two that brings its largest component near 1: no cosine changes by it, and no square overflows."""
+    wide = vectors.astype(np.float64)
+    return np.ldexp(wide, -np.frexp(np.abs(wide).max(axis=1, keepdims=True))[1])
+
+
 def build_shard(ids: np.ndarray, vectors: np.ndarray, copies: int) -> dict[str, np.ndarray]:
-    """Index of one shard: vectors (float32), copies' least ids, and a level's members and links for each level."""
+    """Index of one shard: original vectors, copies' least ids, and a level's members and links for each level."""
     order = np.argsort(ids, kind="stable")
     ids, vectors = ids[order], np.ascontiguousarray(vectors[order])
     _, first, node = np.unique(vectors.view([("", vectors.dtype)] * vectors.shape[1]).ravel(), return_index=True, return_inverse=True)
@@ -109,7 +115,7 @@ def build_shard(ids: np.ndarray, vectors: np.ndarray, copies: int) -> dict[str,
     few = rank < copies
     held[node[by_node][few], rank[few]] = ids[by_node][few]
     own = vectors[first]
-    wide = own.astype(np.float64)
+    wide = scaled(own)
     unit = (wide / np.sqrt((wide * wide).sum(axis=1))[:, None]).astype(np.float32)
     draw = (K.mix(ids[first].view(K.U64) * K.U64(K.BASE)) >> K.U64(11)).astype(np.float64) / 2.0**53
     level = np.floor(-np.log(np.maximum(draw, 1e-12)) / math.log(LINKS)).astype(int)
@@ -124,10 +130,9 @@ def build_shard(ids: np.ndarray, vectors: np.ndarray, copies: int) -> dict[str,
 
 class Shard:
     def __init__(self, arrays: dict[str, np.ndarray]) -> None:
-        self.own, self.held = arrays["vectors"], arrays["held"]
-        wide = self.own.astype(np.float64)
-        self.norm = np.sqrt((wide * wide).sum(axis=1))
-        self.unit = (wide / self.norm[:, None]).astype(np.float32)
+        self.own, self.held = scaled(arrays["vectors"]), arrays["held"]
+        self.norm = np.sqrt((self.own * self.own).sum(axis=1))
+        self.unit = (self.own / self.norm[:, None]).astype(np.float32)
         self.links0 = arrays["links0"]
         self.levels = [(arrays[f"members{d}"], arrays[f"links{d}"]) for d in range(1, 99) if f"links{d}" in arrays]
 
@@ -178,11 +183,11 @@ class Shard:
 
     def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int, beam: int) -> Iterator[tuple[int, int, float]]:
         """(query id, vector id, cosine), k at most for each query; cosines in double precision on the original vectors."""
-        wide = queries.astype(np.float64)
+        wide = scaled(queries)
         norm = np.sqrt((wide * wide).sum(axis=1))
         found = self.search((wide / norm[:, None]).astype(np.float32), beam)
         safe = np.maximum(found, 0)
-        dots = (self.own[safe].astype(np.float64) * wide[:, None, :]).sum(axis=2)
+        dots = (self.own[safe] * wide[:, None, :]).sum(axis=2)
         cosine = np.where(found >= 0, dots / (self.norm[safe] * norm[:, None]), -np.inf)
         for i, me in enumerate(query_ids):
             best: list[tuple[float, int]] = []
@@ -206,7 +211,13 @@ _INDEX = "shard int, dim int, names array<string>, kinds array<string>, widths a
 
 
 def _vectors(batch: pa.RecordBatch, name: str, dim: int) -> np.ndarray:
-    return batch.column(name).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+    return batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+def _typed(rows: DataFrame) -> DataFrame:
+    """vec_id and embedding; components are float or double."""
+    kind = rows.schema["embedding"].dataType.simpleString()
+    return rows.select("vec_id", F.col("embedding") if kind in ("array<float>", "array<double>") else F.col("embedding").cast("array<double>").alias("embedding"))
 
 
 def _runs(batch: pa.RecordBatch, *names: str) -> Iterator[tuple[tuple, pa.RecordBatch]]:
@@ -274,14 +285,15 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, shard
     """The k nearest of ``vectors`` (vec_id, embedding) found for each of ``queries`` (the same columns), by cosine.
 
     Returns query_id, rank from 1, vec_id and score, nearest first, ties to the smaller
-    vec_id; a query's own id is no candidate. Vectors that are null, zero or hold null or
+    vec_id; a query's own id is no candidate. Graphs are walked in single precision, and what
+    they find is scored in double precision on the vectors as they are. Vectors that are null, zero or hold null or
     non-finite components take no part, as query or candidate, nor do null ids. Rows that
     repeat an id count as one, with the least of their vectors. Vectors are compared with
     those of their own length only. Other columns aren't looked at. Empty tables give no rows.
     """
     scratch = Scratch(vectors.sparkSession, "ann")
-    index, _, shards = build_index(vectors.select("vec_id", "embedding"), scratch, shard_rows, k + 1)
-    asked = queries.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    index, _, shards = build_index(_typed(vectors), scratch, shard_rows, k + 1)
+    asked = _typed(queries).filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     asked = scratch.keep(asked, "queries")
     slots = max(1, math.ceil(asked.count() / PER_COPY))
     every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")

@@ -125,3 +125,28 @@ def test_pipeline_stages(spark, tmp_path):
     assert 903 not in left["lines"] | left["near"]
     assert 900 in left["near"] and 900 not in left["decontaminate"]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_neighbours_in_double_precision(spark):
+    """Scores are those of the vectors as they are, also beyond the range of single precision."""
+    rows = [(0, [0.1, 0.2]), (1, [0.3, 0.7]), (2, [1e39, 1.0]), (3, [1e-200, 1e-200]), (4, [-5.0, 1.0]), (5, [1e308, -1e308])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in ann.nearest_neighbours(frame, frame, k=5).collect()}
+    from fractions import Fraction
+
+    for i, a in rows:
+        for j, b in rows:
+            if i != j:
+                x, y = [Fraction(v) for v in a], [Fraction(v) for v in b]
+                dot, size = sum(p * q for p, q in zip(x, y)), sum(p * p for p in x) * sum(q * q for q in y)
+                want = float(dot * dot / size) ** 0.5 * (1 if dot >= 0 else -1)
+                assert abs(got[i, j] - want) < 1e-12, (i, j)
+    whole = spark.createDataFrame([(1, [1, 2]), (2, [2, 4]), (3, [0, 0])], "vec_id long, embedding array<int>")
+    assert {(r["query_id"], r["vec_id"]) for r in ann.nearest_neighbours(whole, whole).collect()} == {(1, 2), (2, 1)}
+
+
+def test_sums_of_many_partitions_are_added_on_executors(spark):
+    size = 7
+    rows = [(p % quality.FOLDS, p, np.full(size, float(p)).tobytes()) for p in range(50)]
+    got = {r["fold"]: np.frombuffer(r["sums"]) for r in quality._added(spark.createDataFrame(rows, quality._SUMS).repartition(9), 50).collect()}
+    assert {k: v.tolist() for k, v in got.items()} == {k: [float(sum(p for p in range(50) if p % quality.FOLDS == k))] * size for k in range(quality.FOLDS)}
