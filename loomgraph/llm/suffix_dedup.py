@@ -292,14 +292,17 @@ def remove_repeats(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", t
     numbered = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), "th", "th2", "text")
     records = scratch.keep(numbered.filter(F.octet_length("text") >= length).mapInArrow(_recorder(length), _RECORD), "records")
     place = F.xxhash64("th", "start").alias("place")
-    shared = records.select("bucket", place).groupBy("bucket").agg(F.min("place").alias("x"), F.max("place").alias("y")).filter("x <> y").select("bucket")
+    # What is aggregated is written before it is joined, so that a bucket with very many records can be split.
+    shared = scratch.keep(records.select("bucket", place).groupBy("bucket").agg(F.min("place").alias("x"), F.max("place").alias("y")).filter("x <> y").select("bucket"), "buckets")
+    scratch.release()
     some = scratch.keep(records.join(shared, "bucket"), "shared")
     scratch.drop(records)
+    scratch.drop(shared)
     scratch.release()
     regions = some.groupBy("bucket", "region").agg(F.min(F.struct("doc_id", "th", "start", "windows", "anchor")).alias("r"), F.min(F.xxhash64("th", "start")).alias("x"), F.max(F.xxhash64("th", "start")).alias("y"))
     regions = scratch.keep(regions.select("bucket", "region", "r.*", (F.col("x") != F.col("y")).alias("copied")), "regions")
     whole = some.join(regions.filter("copied").select("bucket", "region"), ["bucket", "region"], "left_semi").select("doc_id", "th", "start", (F.col("start") + F.col("windows") + (length - 1)).alias("end"))
-    mixed = regions.groupBy("bucket").agg(F.min("region").alias("x"), F.max("region").alias("y"), F.count(F.lit(1)).alias("size")).filter("x <> y").select("bucket", "size")
+    mixed = scratch.keep(regions.groupBy("bucket").agg(F.min("region").alias("x"), F.max("region").alias("y"), F.count(F.lit(1)).alias("size")).filter("x <> y").select("bucket", "size"), "mixed")
     wanted = regions.join(mixed, "bucket").select("bucket", "size", "doc_id", "th", "start", "windows", "anchor")
     cut = F.expr(f"substring(cast(text as binary), start + 1, windows + {length - 1})").alias("bytes")
     texts = numbered.select("doc_id", "th", "text").hint("merge")
