@@ -148,6 +148,16 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return (np.concatenate(sets) if sets else np.zeros(0, U64)), np.concatenate([[0], np.cumsum([len(s) for s in sets], dtype=np.int64)])
 
 
+def sets_of(texts: list[bytes]) -> list[np.ndarray]:
+    """Shingle set of each text, worked out over about ``GROUP_BYTES`` at a time."""
+    out: list[np.ndarray] = []
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+    for lo, hi in groups(offsets):
+        hashes, at = shingle_sets(np.frombuffer(b"".join(texts[lo:hi]), np.uint8), offsets[lo : hi + 1] - offsets[lo])
+        out += [hashes[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    return out
+
+
 def signatures(hashes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     """MinHash signature, k 32-bit values a set; all ones for an empty set."""
     out = np.full((len(at) - 1, k), 0xFFFFFFFF, np.uint32)

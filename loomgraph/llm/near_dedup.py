@@ -49,14 +49,14 @@ LEFT, RIGHT = 1024, 8192
 SKETCH = TREES * DEPTH // 4
 NO_ID = (1 << 63) - 1
 
-_SIGNED = "doc_id long, n_shingles long, s1 long, s2 long, sketch binary, trees binary"
+_SIGNED = "doc_id long, th long, n_shingles long, s1 long, s2 long, sketch binary, trees binary"
 #: How many of the four 2-bit fields of a byte are zero.
 _ZERO_FIELDS = np.array([sum((b >> s) & 3 == 0 for s in (0, 2, 4, 6)) for b in range(256)], np.int16)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = K.text_bytes(batch.column(1))
+        data, offsets = K.text_bytes(batch.column(2))
         for lo, hi in K.groups(offsets):
             hashes, at = K.shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             sig = K.signatures(hashes, at, TREES * DEPTH)
@@ -67,8 +67,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low = (sig & 3).astype(np.uint8).reshape(hi - lo, SKETCH, 4)
             sketch = low[:, :, 0] | low[:, :, 1] << 2 | low[:, :, 2] << 4 | low[:, :, 3] << 6
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(np.diff(at)), *map(pa.array, sums), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array([x.astype(">u4").tobytes() for x in sig], pa.binary())],
-                ["doc_id", "n_shingles", "s1", "s2", "sketch", "trees"],
+                [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(at)), *map(pa.array, sums), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array([x.astype(">u4").tobytes() for x in sig], pa.binary())],
+                ["doc_id", "th", "n_shingles", "s1", "s2", "sketch", "trees"],
             )
 
 
@@ -187,10 +187,9 @@ def _verifier(percent: int):
 
         def flush() -> pa.RecordBatch:
             own = [(x, t) for x, ts in texts.items() for t in ts]
-            hashes, at = K.shingle_sets(np.frombuffer(b"".join(t for _, t in own), np.uint8), np.concatenate([[0], np.cumsum([len(t) for _, t in own], dtype=np.int64)]))
             sets: dict[int, list[np.ndarray]] = {x: [] for x in texts}
-            for i, (x, _) in enumerate(own):
-                sets[x].append(hashes[at[i] : at[i + 1]])
+            for (x, _), found in zip(own, K.sets_of([t for _, t in own]), strict=True):
+                sets[x].append(found)
             up = {x: x for x in texts}
 
             def top(x: int) -> int:
@@ -372,18 +371,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     distinct five-word shingles, or the whole sequence of fewer words. Returns per row of
     ``docs``: doc_id, n_shingles, component_id (the smallest doc_id reachable) and kept
     (doc_id = component_id). A text that is null, empty or without words has an empty set
-    and is linked with nothing. Rows that repeat a doc_id are judged each; if their sets
-    are alike or linked, they share a component. A null doc_id comes last in the order of
-    ids, and is kept only where no other id is in reach. A doc_id with several texts is
-    linked through any of them. Other columns aren't looked at.
+    and is linked with nothing. Rows that repeat a doc_id are judged each by its own text; if
+    their sets are alike or linked, they share a component. A null doc_id comes last in the
+    order of ids, and is kept only where no other id is in reach. Other columns aren't looked at.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
-    rows = docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(NO_ID)).alias("doc_id"), docs[text].alias("text"))
+    rows = docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(docs[text]).alias("th"), docs[text].alias("text"))
     signed = scratch.keep(rows.mapInArrow(_sign, _SIGNED), "signed")
     full = signed.filter("n_shingles > 0")
-    classes = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch"), F.max("trees").alias("trees"))
-    nodes = scratch.keep(classes, "nodes")
+    classes = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.min_by("th", "doc_id").alias("th"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch"), F.max("trees").alias("trees"))
+    # Nodes have numbers of their own: a doc_id may stand in several classes. They are written with them, so they stay the same.
+    nodes = scratch.keep(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     def values(tree: Column, lo: int, hi: int) -> Column:
         return F.substring(F.col("trees"), tree * (4 * DEPTH) + 4 * lo + 1, F.lit(4 * (hi - lo)))
@@ -393,7 +392,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     proposed = scratch.keep(_proposed(regions, percent / 100), "proposed")
     # Texts of the nodes that any pair needs are sorted out once, and by a shuffle at any size.
     asked = proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = scratch.keep(rows.select(F.col("doc_id").alias("node"), "text").hint("merge").join(asked, "node", "left_semi"), "texts")
+    asked = nodes.select("node", F.col("least").alias("doc_id"), "th").join(asked, "node", "left_semi")
+    texts = scratch.keep(rows.hint("merge").join(asked, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("node", "text"), "texts")
+    scratch.release()
     links = scratch.keep(_verified(_once(proposed), texts, percent), "links")
     known = connected_components(links, scratch, "first")
     dense = proposed.filter("a = b").select(F.col("a").alias("node")).distinct()
@@ -406,7 +407,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         rest = _rest(scratch, nodes, dense, known, texts, values, percent)
         if rest is not None and not rest.isEmpty():
             known = connected_components(links.union(rest), scratch, "third")
-    of_class = nodes.select("s1", "s2", "node").join(known, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component"))
+    for done in (proposed, texts):
+        scratch.drop(done)
+    # The smallest doc_id of every component of more than one node.
+    members = scratch.keep(known.union(known.select("component", "component")).distinct().join(nodes.select("node", "least"), "node"), "members")
+    smallest = scratch.keep(members.groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
+    named = members.join(smallest, "component").select("node", "component_id")
+    of_class = nodes.select("s1", "s2", "node", "least").join(named, "node", "left").select("s1", "s2", F.coalesce("component_id", "least").alias("component"))
     out = signed.join(of_class, ["s1", "s2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     real = lambda c: F.when(c != NO_ID, c)
