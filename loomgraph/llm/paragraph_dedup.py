@@ -5,21 +5,23 @@ content: of every ``WINDOW`` consecutive words the one with the least hash start
 paragraph of ``WORDS`` words. A passage of ``WINDOW + WORDS`` words or more that stands
 in two texts holds a paragraph that is cut alike in both, wherever it stands.
 
-Each paragraph has ``BANDS`` bands of one MinHash value over its five-word shingles: two
-paragraphs at similarity 0.8 collide in one of two bands with probability 0.96, equal
-ones always, and a passage of 60 words has three or four of them. Paragraphs that collide
-are verified by exact Jaccard similarity; their components keep the earliest paragraph.
-
 Beside these pieces, lines, paragraphs between blank lines and whole short texts of
-``LEAST`` words or more are units of their own, with ``UNIT_BANDS`` bands over their full
-shingle sets: two at similarity 0.8 collide with probability 0.998, equal ones always.
+``LEAST`` words or more are units of their own.
+
+1. Paragraphs of equal words are one wording, known by a hash of the words; of each
+   wording the first and the last place are kept.
+2. Each wording has bands of one MinHash value over its five-word shingles, as many as the
+   wanted recall at similarity 0.8 asks for (``bands_for``): two bands for pieces, of which
+   a passage of 60 words holds three or four, and four for units.
+3. Wordings that share a band and have two places apart are verified by exact Jaccard
+   similarity, once a bucket, on the bytes of one place each.
+4. Components of the verified links keep their earliest paragraph.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +32,22 @@ from loomgraph.llm import kernels as K
 from loomgraph.llm.components import connected_components
 from loomgraph.llm.store import Scratch
 
-WORDS, WINDOW, BANDS = 25, 26, 2
+WORDS, WINDOW = 25, 26
 #: A unit that is alike at 0.8 to one of WORDS words has LEAST or more.
-LEAST, UNIT_BANDS = 20, 4
+LEAST = 20
+SIMILARITY, PIECE_RECALL, UNIT_RECALL = 0.8, 0.95, 0.995
+
+
+def bands_for(similarity: float, recall: float) -> int:
+    """Bands of one MinHash value of which two sets at ``similarity`` share one with probability ``recall`` or more."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity) - 1e-9))
+
+
+BANDS, UNIT_BANDS = bands_for(SIMILARITY, PIECE_RECALL), bands_for(SIMILARITY, UNIT_RECALL)
 #: A bucket of so many wordings is compared pair by pair, a larger one by its rarest shingles.
 FEW = 8
 _LOW = (1 << 24) - 1
-_PARAGRAPH = "doc_id long, th long, start int, size int, wh long, m0 long, m1 long, m2 long, m3 long"
+_NAMES = [f"m{k}" for k in range(max(BANDS, UNIT_BANDS))]
 
 
 def paragraphs(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
@@ -103,20 +114,28 @@ def units(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return out | {f"m{k}": K.mix(np.minimum.reduceat(shingles * turns[k], cuts)[::2] + K.U64(k)).view(np.int64) for k in range(UNIT_BANDS)}
 
 
-def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = K.text_bytes(batch.column(2))
-        for lo, hi in K.groups(offsets):
-            own = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-            for found in (paragraphs(*own), units(*own)):
-                if found:
-                    text = pa.array(found["text"] + lo)
-                    bands = [pa.array(found[f"m{k}"]) if f"m{k}" in found else pa.nulls(len(text), pa.int64()) for k in range(UNIT_BANDS)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(text), batch.column(1).take(text), pa.array(found["start"].astype(np.int32)), pa.array(found["size"].astype(np.int32)), pa.array(found["wh"]), *bands], ["doc_id", "th", "start", "size", "wh", *(f"m{k}" for k in range(UNIT_BANDS))])
+def _cutter(bands: bool):
+    """Texts, the last column, to their paragraphs: the columns before, start, size, wh and, if asked for, the bands."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = K.text_bytes(batch.column(batch.num_columns - 1))
+            for lo, hi in K.groups(offsets):
+                own = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+                for found in (paragraphs(*own), units(*own)):
+                    if found:
+                        text = pa.array(found["text"] + lo)
+                        columns = {batch.schema.names[i]: batch.column(i).take(text) for i in range(batch.num_columns - 1)}
+                        columns |= {"start": pa.array(found["start"].astype(np.int32)), "size": pa.array(found["size"].astype(np.int32)), "wh": pa.array(found["wh"])}
+                        if bands:
+                            columns |= {m: pa.array(found[m]) if m in found else pa.nulls(len(text), pa.int64()) for m in _NAMES}
+                        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return run
 
-def similar_pairs(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """Links that join the sets into their components at a Jaccard similarity of ``least``.
+
+def similar_pairs(sets: list[np.ndarray], least: float, apart: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """Links that join the sets into their components at a Jaccard similarity of ``least``; with ``apart``, of pairs that it accepts.
 
     Of two sets that are alike each holds one of the other's rarest hashes, as many as the
     bound lets them differ in and one more. Rarity is within the bucket, so what all of its
@@ -152,78 +171,100 @@ def similar_pairs(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]
     out = []
     for i, others in enumerate(near):
         for j in others:
-            if top(j) != top(i) and alike(sets[i], sets[j]):
+            if top(j) != top(i) and (apart is None or apart(i, j)) and alike(sets[i], sets[j]):
                 up[top(i)] = top(j)
                 out.append((j, i))
     return out
 
 
 def _verifier(least: float):
-    """What turns rows (key, wh, bytes) sorted by key into links (a, b) of word hashes whose shingle sets are alike."""
+    """What turns rows (key, wh, bytes, d, start, size, last_d, last_start) sorted by key into links (a, b) of wordings that are alike and have two places apart."""
+
+    def links(rows: list[tuple], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        def apart(i: int, j: int) -> bool:
+            """Unless all places of both stand in one text and overlap."""
+            _, d, start, size, last_d, last = rows[i]
+            _, e, other, extent, last_e, far = rows[j]
+            return not d == last_d == e == last_e or start + size <= far or other + extent <= last
 
-    def links(whs: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-        return [(min(whs[i], whs[j]), max(whs[i], whs[j])) for i, j in similar_pairs(sets, least)]
+        return [(min(rows[i][0], rows[j][0]), max(rows[i][0], rows[j][0])) for i, j in similar_pairs(sets, least, apart)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key: int | None = None
-        whs: list[int] = []
+        held: list[tuple] = []
         sets: list[np.ndarray] = []
         for batch in batches:
             data, offsets = K.text_bytes(batch.column("bytes"))
-            hashes, at = K.shingle_sets(data, offsets)
+            keys = batch.column("key").to_pylist()
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("wh", "d", "start", "size", "last_d", "last_start")), strict=True))
             out: list[tuple[int, int]] = []
-            for i, (own, wh) in enumerate(zip(batch.column("key").to_pylist(), batch.column("wh").to_pylist(), strict=True)):
-                if own != key:
-                    out += links(whs, sets)
-                    key, whs, sets = own, [], []
-                whs.append(wh)
-                sets.append(hashes[at[i] : at[i + 1]])
+            for lo, hi in K.groups(offsets):
+                hashes, at = K.shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                for i in range(lo, hi):
+                    if keys[i] != key:
+                        out += links(held, sets)
+                        key, held, sets = keys[i], [], []
+                    held.append(rows[i])
+                    sets.append(hashes[at[i - lo] : at[i - lo + 1]].copy())
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
-        out = links(whs, sets)
+        out = links(held, sets)
         yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
-def repeated_paragraphs(docs: DataFrame, least: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, least: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Paragraphs that repeat an earlier one, in this or another document.
 
-    Words are runs of other than blank characters with A-Z lower-cased; a paragraph is
-    25 of them, cut by content, or a line, a run of lines between blank ones or a whole text
-    of up to 50 words, of 20 words or more; so rows of one text may overlap. Paragraphs are alike with a Jaccard similarity of ``least`` or more between
-    their sets of five-word shingles; within one text only equal ones are looked for. Of each component of alike paragraphs the earliest, by
-    doc_id and place, stays, with those that overlap it. Returns a row for each other one: doc_id, start and size (UTF-8
-    bytes), component (an id of the component) and kept_in, the doc_id of the one that stays.
-    Null and empty texts and texts of fewer than 20 words have no paragraphs. A null doc_id
-    comes last. Rows that repeat a doc_id and its text are one document; with other texts
-    they come in the order of their hashes. Other columns aren't looked at.
+    Words are runs of other than blank characters with A-Z lower-cased. A paragraph is 25 of
+    them, cut by content, in a text of 26 or more, or a line, a run of lines between blank
+    ones or a whole text of up to 50 words, of 20 words or more; so rows of one text may
+    overlap. Paragraphs are linked if their words are equal, or if their sets of five-word
+    shingles have a Jaccard similarity of ``least`` or more and two of their places don't
+    overlap, in one text or two. Of each component of linked paragraphs the earliest, by
+    doc_id and place, stays, with those that overlap it. Returns a row for each other one:
+    doc_id, start and size (UTF-8 bytes), component (an id of the component) and kept_in,
+    the doc_id of the one that stays. Null and empty texts and texts of fewer than 20 words
+    have no paragraphs. A null doc_id comes last. Rows that repeat a doc_id and its text are
+    one document; with other texts they come in the order of their hashes. Other columns
+    aren't looked at.
     """
     scratch = Scratch(docs.sparkSession, "paragraph-dedup")
     no_id = (1 << 63) - 1
-    rows = docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(no_id)).alias("doc_id"), F.xxhash64(docs[text]).alias("th"), docs[text].alias("text"))
-    every = scratch.keep(rows.filter("text IS NOT NULL").mapInArrow(_cutter, _PARAGRAPH), "paragraphs")
-    place = F.xxhash64("doc_id", "th", "start", "size")
-    equal = every.select("wh", place.alias("place")).groupBy("wh").agg(F.min("place").alias("x"), F.max("place").alias("y")).filter("x <> y").select("wh")
-    equal = scratch.keep(equal, "equal")
+    rows = docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(no_id)).alias("doc_id"), F.xxhash64(docs[text]).alias("th"), docs[text].alias("text")).filter("text IS NOT NULL")
+    of_text = rows.select(F.xxhash64("doc_id", "th").alias("d"), "text")
+    cut = of_text.mapInArrow(_cutter(True), "d long, start int, size int, wh long, " + ", ".join(f"{m} long" for m in _NAMES))
+    place = F.struct("d", "start", "size")
+    worded = cut.groupBy("wh").agg(F.min(place).alias("at"), F.max(place).alias("last"), *[F.max(m).alias(m) for m in _NAMES])
+    again = F.col("at") != F.col("last")
+    wordings = scratch.keep(worded.select("wh", "at.*", F.when(again, F.col("last.d")).alias("last_d"), F.when(again, F.col("last.start")).alias("last_start"), *_NAMES), "wordings")
+    scratch.release()
+    equal = scratch.keep(wordings.filter("last_start IS NOT NULL").select("wh"), "equal")
+    keyed = wordings.select("wh", "d", "start", "size", F.coalesce("last_d", "d").alias("last_d"), F.coalesce("last_start", "start").alias("last_start"), F.array_compact(F.array(*_NAMES)).alias("keys"))
+    met = scratch.keep(_met(scratch, keyed), "met")
+    scratch.release()
+    asked = scratch.keep(keyed.drop("keys").join(met, "wh").select("wh", "d", "start", "size", "last_d", "last_start", "keys"), "asked")
+    for done in (wordings, met):
+        scratch.drop(done)
+    scratch.release()
+    # A text is sent once for all its paragraphs; rows that repeat it bring the same ones.
+    wanted = asked.groupBy("d").agg(F.collect_list(F.struct("wh", "start", "size", "last_d", "last_start", "keys")).alias("wanted"))
+    sent = of_text.hint("merge").join(wanted, "d").dropDuplicates(["d"]).select("d", F.expr("cast(text as binary)").alias("data"), F.explode("wanted").alias("w"))
+    sent = scratch.keep(sent.select("d", "w.*", F.expr("substring(data, w.start + 1, w.size)").alias("bytes")), "sent")
+    scratch.drop(asked)
+    scratch.release()
+    dealt = sent.withColumn("key", F.explode("keys")).drop("keys").repartition("key").sortWithinPartitions("key", "wh")
+    links = scratch.keep(dealt.mapInArrow(_verifier(least), "a long, b long").distinct(), "links")
+    scratch.drop(sent)
     scratch.release()
-    # One band after the other, so that one shuffle of paragraphs or texts is on disk at a time.
-    cut = F.expr("substring(cast(text as binary), start + 1, size)").alias("bytes")
-    linked = []
-    for b in range(UNIT_BANDS):
-        met = _collisions(scratch, every, f"m{b}")
-        sent = rows.filter("text IS NOT NULL").hint("merge").join(met, ["doc_id", "th"]).select("key", "wh", cut)
-        sent = scratch.keep(sent.dropDuplicates(["key", "wh"]), f"sent-{b}")
-        scratch.drop(met)
-        scratch.release()
-        linked.append(scratch.keep(sent.repartition("key").sortWithinPartitions("key", "wh").mapInArrow(_verifier(least), "a long, b long").distinct(), f"links-{b}"))
-        scratch.drop(sent)
-        scratch.release()
-    links = scratch.keep(reduce(DataFrame.union, linked).distinct(), "links")
     known = connected_components(links, scratch).withColumnRenamed("node", "wh")
     ends = known.select("wh", "component").union(known.select(F.col("component").alias("wh"), "component")).distinct()
-    nodes = equal.join(ends, "wh", "full").select("wh", F.coalesce("component", "wh").alias("component"))
-    found = scratch.keep(every.select("doc_id", "th", "start", "size", "wh").join(nodes, "wh").drop("wh"), "repeats")
-    scratch.drop(every)
+    nodes = scratch.keep(equal.join(ends, "wh", "full").select("wh", F.coalesce("component", "wh").alias("component")), "nodes")
+    scratch.release()
+    # Cutting once more takes less than holding all paragraphs till here.
+    placed = rows.select("doc_id", "th", "text").mapInArrow(_cutter(False), "doc_id long, th long, start int, size int, wh long")
+    found = scratch.keep(placed.join(nodes, "wh").drop("wh"), "repeats")
+    scratch.drop(nodes)
     scratch.release()
     keeper = scratch.keep(found.groupBy("component").agg(F.min(F.struct("doc_id", "th", "start", "size")).alias("keep")), "keeper")
     scratch.release()
@@ -235,22 +276,16 @@ def repeated_paragraphs(docs: DataFrame, least: float = 0.8, doc_id: str = "doc_
     return gone.select(real(F.col("doc_id")).alias("doc_id"), "start", "size", "component", real(F.col("keep.doc_id")).alias("kept_in"))
 
 
-def _collisions(scratch: Scratch, every: DataFrame, band: str) -> DataFrame:
-    """(key, wh, doc_id, th, start, size): one paragraph for each different words of a bucket that two texts and two wordings are in."""
-    every = every.filter(F.col(band).isNotNull())
-    own = every.select(F.col(band).alias("key"), F.xxhash64("doc_id", "th").alias("doc"), "wh")
-    mixed = own.groupBy("key").agg(F.min("doc").alias("x"), F.max("doc").alias("y"), F.min("wh").alias("u"), F.max("wh").alias("v")).filter("x <> y AND u <> v").select("key")
-    mixed = scratch.keep(mixed, f"mixed-{band}")
-    scratch.release()
-    hits = every.select(F.col(band).alias("key"), "wh", "doc_id", "th", "start", "size").join(mixed, "key")
-    found = hits.groupBy("key", "wh").agg(F.min(F.struct("doc_id", "th", "start", "size")).alias("at")).select("key", "wh", "at.*")
-    found = scratch.keep(found, f"met-{band}")
-    scratch.drop(mixed)
+def _met(scratch: Scratch, keyed: DataFrame) -> DataFrame:
+    """(wh, keys): the bands of each wording that it shares with another one, if two places of the bucket are apart."""
+    each = keyed.select("wh", "d", "last_d", (F.col("start") + F.col("size")).alias("end"), "last_start", F.explode("keys").alias("key"))
+    of_key = each.groupBy("key").agg(F.min("wh").alias("u"), F.max("wh").alias("v"), F.min("d").alias("x"), F.max("last_d").alias("y"), F.min("end").alias("end"), F.max("last_start").alias("last"))
+    shared = scratch.keep(of_key.filter("u <> v AND (x <> y OR end <= last)").select("key"), "shared")
     scratch.release()
-    return found
+    return keyed.select("wh", F.explode("keys").alias("key")).join(shared, "key").groupBy("wh").agg(F.collect_list("key").alias("keys"))  # as many as there are bands
 
 
 def op9_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents: one that repeats paragraphs, and the one where their first copy stays."""
     found = repeated_paragraphs(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return found.groupBy("doc_id", "kept_in").agg(F.count(F.lit(1)).alias("n_paragraphs"), F.sum("size").alias("n_bytes"), F.min("start").alias("first_start"), F.max(F.col("start") + F.col("size")).alias("last_end"), F.countDistinct("component").alias("n_components"))
+    return found.groupBy("doc_id", "kept_in").agg(F.count(F.lit(1)).alias("n_paragraphs"), F.sum("size").alias("n_bytes"), F.min("start").alias("first_start"), F.max(F.col("start") + F.col("size")).alias("last_end"))

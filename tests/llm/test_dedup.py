@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.llm import decontaminate, kernels, line_dedup, near_dedup, paragraph_dedup, suffix_dedup
 from loomgraph.llm.components import connected_components
@@ -81,6 +82,14 @@ def test_near_duplicates_odd_rows(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_near_duplicates_repeated_ids(spark):
+    """Rows of one id with different texts are judged each, whether what links them is an exact or a near copy."""
+    a, b = prose(60), prose(90)
+    for copy in (b, edited(b, 1)):
+        got = near_dedup.near_duplicates(spark.createDataFrame([(5, a), (5, b), (3, copy)], "doc_id long, text string")).collect()
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == sorted([(5, len(shingles(a)), 5, True), (5, len(shingles(b)), 3, False), (3, len(shingles(copy)), 3, True)])
+
+
 def test_near_duplicates_star(spark):
     """Copies that are alike to the original alone, whose id is in the middle."""
     r = random.Random(8)
@@ -104,6 +113,24 @@ def test_components(spark):
     assert {r["node"]: r["component"] for r in got} == want and len(got) == len(want)
 
 
+def test_components_split_hot_nodes(spark):
+    """The joins of a round stand between exchanges, so adaptive execution can split a node with very many links."""
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        scratch = Scratch(spark, "t")
+        both = spark.range(20000).selectExpr("if(id < 15000, 1, id) u", "id + 20000 v").repartition(6)
+        least = scratch.keep(both.groupBy("u").agg(F.min("v").alias("m")), "least")
+        joined = both.join(least, "u").filter("m < v")
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def dedup_plain(rows):
     lines = [(i, k, x) for i, t in sorted(rows) if t is not None for k, x in enumerate(t.split("\n"))]
     words = lambda x: tuple(x.strip(" \t\r").split(" "))
@@ -225,6 +252,74 @@ def test_paragraphs(spark):
     assert paragraph_dedup.repeated_paragraphs(frame.limit(0)).count() == 0
 
 
+def places_plain(rows):
+    """(doc_id, start, size, words) of every paragraph, by the operator's own cut."""
+    out = []
+    for i, t in rows:
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        for cut in (paragraph_dedup.paragraphs, paragraph_dedup.units):
+            found = cut(data, np.array([0, len(data)])) if len(data) else {}
+            out += [(i, int(a), int(n), (cut.__name__, tuple(bytes(data[a : a + n]).decode().lower().split()))) for a, n in zip(found.get("start", []), found.get("size", []))]
+    return out
+
+
+def repeated_plain(rows, least):
+    places = places_plain(rows)
+    by_words = {}
+    for p in places:
+        by_words.setdefault(p[3], []).append(p)
+    words = list(by_words)
+    sets = [frozenset(tuple(w[1][k : k + 5]) for k in range(len(w[1]) - 4)) for w in words]
+    apart = lambda x, y: x[0] != y[0] or x[1] + x[2] <= y[1] or y[1] + y[2] <= x[1]
+    alike = lambda a, b: len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) and any(apart(x, y) for x in by_words[words[a]] for y in by_words[words[b]])
+    of = components(range(len(words)), alike)
+    groups = {}
+    for n, w in enumerate(words):
+        groups.setdefault(of[n], []).extend(by_words[w])
+    out = set()
+    for group in groups.values():
+        keep = min(group)
+        out |= {(p[0], p[1], p[2], keep[0]) for p in group if p[0] != keep[0] or p[1] >= keep[1] + keep[2]}
+    return out
+
+
+def test_paragraphs_against_all_pairs(spark):
+    """Components and keepers over the same cut, near copies within one text among them."""
+    r = random.Random(21)
+    unique = lambda n: [f"u{r.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for n in (20, 26, 33, 47, 60, 90):
+        x = unique(n)
+        near = [*x[:-2], "other", x[-1]]
+        rows += [(len(rows), " ".join(x)), (len(rows) + 1, " ".join(unique(12) + x + unique(30))), (len(rows) + 2, "\n".join([" ".join(near), " ".join(unique(22)), " ".join(x)]))]
+    rows += [(100, "a b " * 60), (101, None), (102, ""), (103, " ".join(unique(19)))]
+    got = paragraph_dedup.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(g["doc_id"], g["start"], g["size"], g["kept_in"]) for g in got} == repeated_plain(rows, 0.8)
+    assert any(g["doc_id"] == g["kept_in"] for g in got)
+
+
+def test_paragraph_odd_rows(spark):
+    """Null ids come last, a repeated row is one document, and clashing columns don't matter."""
+    r = random.Random(22)
+    x = " ".join(f"u{r.randrange(10**9)}" for _ in range(30))
+    rows = [(None, x, 1, "a"), (4, x, 1, "a"), (4, x, 1, "a"), (9, x + " end", 1, "a"), (4, "other " + x, 1, "a")]
+    got = paragraph_dedup.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string, d int, wh string")).collect()
+    assert {(g["doc_id"], g["kept_in"]) for g in got} >= {(None, 4), (9, 4)} and all(g["kept_in"] == 4 for g in got)
+    assert (paragraph_dedup.BANDS, paragraph_dedup.UNIT_BANDS) == (2, 4)
+
+
+def test_paragraph_recall(spark):
+    """Verbatim paragraphs of 26 to 50 words on lines of their own, in two documents with different surroundings."""
+    r = random.Random(23)
+    unique = lambda n: " ".join(f"u{r.randrange(10**9)}" for _ in range(n))
+    rows = []
+    for k in range(200):
+        x = unique(26 + k % 25)
+        rows += [(2 * k, unique(20) + "\n" + x + "\n" + unique(20)), (2 * k + 1, unique(31) + "\n\n" + x + "\n\n" + unique(9))]
+    got = {g["doc_id"] for g in paragraph_dedup.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {2 * k + 1 for k in range(200)}
+
+
 def test_short_paragraphs(spark):
     """Equal lines, blank-line paragraphs and whole texts of 25 to 45 words, and near ones."""
     r = random.Random(12)
