@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -240,23 +241,24 @@ def repeated_paragraphs(docs: DataFrame, least: float = SIMILARITY, doc_id: str
     wordings = scratch.keep(worded.select("wh", "at.*", F.when(again, F.col("last.d")).alias("last_d"), F.when(again, F.col("last.start")).alias("last_start"), *_NAMES), "wordings")
     scratch.release()
     equal = scratch.keep(wordings.filter("last_start IS NOT NULL").select("wh"), "equal")
-    keyed = wordings.select("wh", "d", "start", "size", F.coalesce("last_d", "d").alias("last_d"), F.coalesce("last_start", "start").alias("last_start"), F.array_compact(F.array(*_NAMES)).alias("keys"))
-    met = scratch.keep(_met(scratch, keyed), "met")
-    scratch.release()
-    asked = scratch.keep(keyed.drop("keys").join(met, "wh").select("wh", "d", "start", "size", "last_d", "last_start", "keys"), "asked")
+    met = _met(scratch, wordings)
+    asked = scratch.keep(wordings.drop(*_NAMES).join(met, "wh"), "asked")
     for done in (wordings, met):
         scratch.drop(done)
     scratch.release()
     # A text is sent once for all its paragraphs; rows that repeat it bring the same ones.
-    wanted = asked.groupBy("d").agg(F.collect_list(F.struct("wh", "start", "size", "last_d", "last_start", "keys")).alias("wanted"))
+    wanted = asked.groupBy("d").agg(F.collect_list(F.struct("wh", "start", "size", F.coalesce("last_d", "d").alias("last_d"), F.coalesce("last_start", "start").alias("last_start"), *_NAMES)).alias("wanted"))
     sent = of_text.hint("merge").join(wanted, "d").dropDuplicates(["d"]).select("d", F.expr("cast(text as binary)").alias("data"), F.explode("wanted").alias("w"))
     sent = scratch.keep(sent.select("d", "w.*", F.expr("substring(data, w.start + 1, w.size)").alias("bytes")), "sent")
     scratch.drop(asked)
     scratch.release()
-    dealt = sent.withColumn("key", F.explode("keys")).drop("keys").repartition("key").sortWithinPartitions("key", "wh")
-    links = scratch.keep(dealt.mapInArrow(_verifier(least), "a long, b long").distinct(), "links")
+    linked = []
+    for m in _NAMES:  # one after the other, so that one shuffle of bytes is on disk at a time
+        dealt = sent.filter(F.col(m).isNotNull()).select(F.col(m).alias("key"), "wh", "d", "start", "size", "last_d", "last_start", "bytes").repartition("key").sortWithinPartitions("key", "wh")
+        linked.append(scratch.keep(dealt.mapInArrow(_verifier(least), "a long, b long").distinct(), f"links-{m}"))
+        scratch.release()
     scratch.drop(sent)
-    scratch.release()
+    links = reduce(DataFrame.union, linked)
     known = connected_components(links, scratch).withColumnRenamed("node", "wh")
     ends = known.select("wh", "component").union(known.select(F.col("component").alias("wh"), "component")).distinct()
     nodes = scratch.keep(equal.join(ends, "wh", "full").select("wh", F.coalesce("component", "wh").alias("component")), "nodes")
@@ -276,13 +278,23 @@ def repeated_paragraphs(docs: DataFrame, least: float = SIMILARITY, doc_id: str
     return gone.select(real(F.col("doc_id")).alias("doc_id"), "start", "size", "component", real(F.col("keep.doc_id")).alias("kept_in"))
 
 
-def _met(scratch: Scratch, keyed: DataFrame) -> DataFrame:
-    """(wh, keys): the bands of each wording that it shares with another one, if two places of the bucket are apart."""
-    each = keyed.select("wh", "d", "last_d", (F.col("start") + F.col("size")).alias("end"), "last_start", F.explode("keys").alias("key"))
-    of_key = each.groupBy("key").agg(F.min("wh").alias("u"), F.max("wh").alias("v"), F.min("d").alias("x"), F.max("last_d").alias("y"), F.min("end").alias("end"), F.max("last_start").alias("last"))
-    shared = scratch.keep(of_key.filter("u <> v AND (x <> y OR end <= last)").select("key"), "shared")
+def _met(scratch: Scratch, wordings: DataFrame) -> DataFrame:
+    """Wordings with those of their bands that another one shares, if two places of the bucket are apart."""
+    found = []
+    for m in _NAMES:  # one after the other, as above
+        each = wordings.filter(F.col(m).isNotNull()).select(F.col(m).alias("key"), "wh", "d", F.coalesce("last_d", "d").alias("last_d"), (F.col("start") + F.col("size")).alias("end"), F.coalesce("last_start", "start").alias("last_start"))
+        of_key = each.groupBy("key").agg(F.min("wh").alias("u"), F.max("wh").alias("v"), F.min("d").alias("x"), F.max("last_d").alias("y"), F.min("end").alias("end"), F.max("last_start").alias("last"))
+        shared = scratch.keep(of_key.filter("u <> v AND (x <> y OR end <= last)").select("key"), f"shared-{m}")
+        scratch.release()
+        met = each.select("key", "wh").join(shared, "key").select("wh", *[F.col("key").alias(o) if o == m else F.lit(None).cast("long").alias(o) for o in _NAMES])
+        found.append(scratch.keep(met, f"met-{m}"))
+        scratch.drop(shared)
+        scratch.release()
+    every = scratch.keep(reduce(DataFrame.union, found).groupBy("wh").agg(*[F.max(m).alias(m) for m in _NAMES]), "met")
+    for done in found:
+        scratch.drop(done)
     scratch.release()
-    return keyed.select("wh", F.explode("keys").alias("key")).join(shared, "key").groupBy("wh").agg(F.collect_list("key").alias("keys"))  # as many as there are bands
+    return every
 
 
 def op9_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
