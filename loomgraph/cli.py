@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from loomgraph.operators import match, render
+from loomgraph.operators import match, render, truth
 from loomgraph.plans import graph as G
 from loomgraph.plans import paths, router
 from loomgraph.sources import stores
@@ -105,7 +105,8 @@ def _run(spark: SparkSession, args: argparse.Namespace) -> int:
 def _build(spark: SparkSession, args: argparse.Namespace) -> int:
     from loomgraph.plans.build import build
 
-    out = build(spark, stores.load_config(Path(args.config).read_text(encoding="utf-8")))
+    config = stores.load_config(Path(args.config).read_text(encoding="utf-8"))
+    out = build(spark, config)
     stores.write_graph(out["graph"], args.out)
     rows = {(r["domain"], r["role"]): r for r in out["recall"].collect()}  # a row for each domain and role
     reports = {}
@@ -117,7 +118,10 @@ def _build(spark: SparkSession, args: argparse.Namespace) -> int:
         got["recall"] = got["n_matched"] / got["n_truth"] if got["n_truth"] else 1.0
     print(json.dumps({"recall": reports, "cycle_error": out["cycle_error"]}))
     if args.strict:
-        verdicts = match.strict_gate(reports, {d for d, r in reports.items() if r["n_truth"]})
+        for r in match.resolve_rates(out["sites"]).collect():  # a row for each domain
+            reports.setdefault(r["domain"], {"n_truth": 0, "recall": 1.0})["resolve_rate"] = r["rate"]
+        enabled = {domain for domain, _ in truth.PATTERNS if config.domains.get(domain, True)}
+        verdicts = match.strict_gate(reports, enabled)
         failed = [v for v in verdicts if not v.ok]
         for v in failed:
             print(f"{v.domain}: {v.reason}; {match.tips([v])[v.domain]}", file=sys.stderr)

@@ -51,9 +51,10 @@ def join_path(prefix: Column, path: Column) -> Column:
 
 
 def base_slug(heading: Column) -> Column:
-    """Lower-case letters, digits and single hyphens."""
-    kept = F.regexp_replace(F.lower(F.trim(heading)), r"[^\p{L}\p{N}\s_-]", "")
-    return F.regexp_replace(F.regexp_replace(kept, r"[\s_]+", "-"), "^-+|-+$", "")
+    """Lower-case letters and digits with single hyphens for blanks; other characters go, and ``section`` stands for nothing."""
+    kept = F.regexp_replace(F.lower(heading), r"[^\p{L}\p{N}\x20-]", "")
+    slug = F.trim(F.regexp_replace(kept, "[ -]+", "-"), F.lit("-"))
+    return F.when(slug == "", "section").otherwise(slug)
 
 
 def snake_case(name: Column) -> Column:

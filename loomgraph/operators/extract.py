@@ -574,6 +574,9 @@ def symbols(file: str, text: str, known: dict[str, str]) -> Iterator[Site]:
         body_at = text.find("{", start) + 1
         i = body_at
         while i < end - 1:
+            if d := re.compile(rf"\s*@{NAME}(?:\.{NAME})*").match(text, i):  # its arguments may hold parentheses of their own
+                i = balanced(text, d.end()) if text[d.end() : d.end() + 1] == "(" else d.end()
+                continue
             m = re.compile(rf"((?:\s|@{NAME}(?:\([^)]*\))?)*)((?:(?:public|private|protected|static|readonly|async|override|abstract|declare)\s+)*)(\*?#?{NAME})\s*([?!]?)\s*(?:<[^(;{{]*>)?\s*([(:=;])").match(text, i)
             if not m:
                 i = balanced(text, i) if text[i] in "([{" else (_STRING.match(text, i) or re.compile(".", re.S).match(text, i)).end()
@@ -631,10 +634,15 @@ def code_branches(file: str, text: str, known: dict[str, str]) -> Iterator[Site]
         yield {"role": role, "subject": condition, "detail": inside[-1], "pattern": (f"{role} {after[1]}" if role in ("throw", "return") else after[1]).strip()[:200], "at": m.start()}
 
 
+def scoped(file: str, text: str, known: dict[str, str]) -> Iterator[Site]:
+    """Scoped markers: a domain without sites so far."""
+    return iter(())
+
+
 DOMAINS: dict[str, Callable] = {
     "nats": nats, "rmq": rmq, "endpoint": endpoints, "config": config, "http": http, "imports": imports, "di-modules": modules, "di-uses": provider_uses, "di-chain": filter_chain,
     "entities": entities, "repositories": repositories, "relations": relations, "columns": columns, "queues": queues, "schedules": schedules, "front": front, "routes": router_routes,
-    "strings": strings, "symbols": symbols, "calls": code_calls, "branches": code_branches,
+    "strings": strings, "symbols": symbols, "calls": code_calls, "branches": code_branches, "scoped": scoped,
 }
 _TEXT = ("role", "edge_kind", "subject_kind", "subject", "via", "enclosing_class", "method", "pattern", "controller", "handler", "version", "key", "source", "api", "url_kind", "url", "env_var", "path_suffix", "detail")
 COLUMNS = [*_TEXT, "placeholders", "status", "number", "has_param", "flag"]
@@ -667,21 +675,36 @@ def constant_index(files: DataFrame) -> DataFrame:
     return rows.groupBy("name").agg(F.min_by("value", "file").alias("value"))
 
 
-#: Constants that are sent to every task; beyond it only a file's own are known, and a warning says so.
+#: Constants that are sent to every task; more of them are joined with the names that a file uses.
 MOST_CONSTANTS = 200_000
 
 
+def known_names(files: DataFrame, shared: DataFrame) -> DataFrame:
+    """(file, text, known): the shared constants whose names stand in the text, as a map."""
+    from pyspark.sql import functions as F
+
+    dotted = F.regexp_extract_all("text", F.lit(r"[A-Za-z_$][A-Za-z0-9_$]*(?:\.[A-Za-z_$][A-Za-z0-9_$]*)*"), F.lit(0))
+    used = files.select("file", F.explode(F.array_distinct(F.flatten(F.transform(dotted, lambda d: F.concat(F.array(d), F.split(d, r"\.")))))).alias("name")).distinct()
+    own = used.join(shared, "name").groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("known"))
+    return files.select("file", "text").join(own, "file", "left")
+
+
 def extract(files: DataFrame, domains: list[str], shared: DataFrame | None = None) -> DataFrame:
     """Sites of (file, text) in the domains given; ``shared`` constants are known in every file."""
     known: dict[str, str] = {}
+    files = files.select("file", "text")
     if shared is not None:
         rows = shared.limit(MOST_CONSTANTS + 1).collect()
-        known = {r["name"]: r["value"] for r in rows} if len(rows) <= MOST_CONSTANTS else {}
+        if len(rows) <= MOST_CONSTANTS:
+            known = {r["name"]: r["value"] for r in rows}
+        else:
+            files = known_names(files, shared)
     names = [c.split(" ")[0] for c in SITES.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [[s.get(c) for c in names] for f, t in zip(batch["file"], batch["text"], strict=True) for s in scan(f, t or "", domains, known)]
+            each = batch["known"] if "known" in batch else [None] * len(batch)
+            rows = [[s.get(c) for c in names] for f, t, k in zip(batch["file"], batch["text"], each, strict=True) for s in scan(f, t or "", domains, dict(k) if k is not None else known)]
             out = pd.DataFrame(rows, columns=names)
             for c in ("line", "column", "ord", "status", "number"):
                 out[c] = out[c].astype("Int64")
@@ -689,4 +712,4 @@ def extract(files: DataFrame, domains: list[str], shared: DataFrame | None = Non
                 out[c] = out[c].astype("boolean")
             yield out
 
-    return files.select("file", "text").mapInPandas(run, SITES)
+    return files.mapInPandas(run, SITES)

@@ -61,10 +61,12 @@ def _edges(df: DataFrame, kind: Column | str, src: Column, dst: Column, by: Colu
 def _diagnostics(df: DataFrame, domain: str, reason: Column) -> DataFrame:
     """Counts by reason, with up to five examples."""
     rows = df.withColumn("__reason", reason).filter("__reason IS NOT NULL")
-    place = F.concat_ws(":", "file", F.col("line").cast("string"))
-    first = F.slice(F.array_sort(F.collect_set(F.when(F.col("__n") <= 5, place))), 1, 5)
-    numbered = rows.withColumn("__n", F.row_number().over(W.partitionBy("__reason").orderBy("file", "line")))
-    return numbered.groupBy(F.lit(domain).alias("domain"), F.col("__reason").alias("reason")).agg(F.count(F.lit(1)).alias("n"), first.alias("examples"))
+    rows = rows.select(F.col("__reason").alias("reason"), "file", "line")
+    counts = rows.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    # The limit by group works before the shuffle, so a frequent reason isn't gathered in one task.
+    first = rows.withColumn("nth", F.row_number().over(W.partitionBy("reason").orderBy("file", "line"))).filter("nth <= 5")
+    examples = first.groupBy("reason").agg(F.array_sort(F.collect_set(F.concat_ws(":", "file", F.col("line").cast("string")))).alias("examples"))
+    return counts.join(examples, "reason").select(F.lit(domain).alias("domain"), "reason", "n", "examples")
 
 
 def _own() -> Column:
@@ -87,7 +89,7 @@ def map_subjects(sites: DataFrame, owners: DataFrame, prefix: str = "nats", kind
 
 
 def map_rmq(sites: DataFrame, owners: DataFrame) -> Parts:
-    full = sites.withColumn("edge_kind", F.lit("rmq-handle")).withColumn("subject_kind", F.when(F.col("subject").isNull(), "unresolved").otherwise("literal"))
+    full = sites.withColumn("edge_kind", F.lit("rmq-subscribe")).withColumn("subject_kind", F.when(F.col("subject").isNull(), "unresolved").otherwise("literal"))
     return map_subjects(full, owners, "rmq", "rmq-pattern")
 
 

@@ -124,13 +124,34 @@ def association_rules(baskets: DataFrame, basket: str, item: str, support: int =
     Baskets are sets of a few items (decorators of a symbol), so pairs are made within one.
     """
     sets = baskets.select(F.col(basket).alias("b"), F.col(item).alias("item")).distinct()
-    singles = sets.groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
+    # An item that is rarer than the support makes no pair that counts.
+    singles = sets.groupBy("item").agg(F.count(F.lit(1)).alias("n_item")).filter(F.col("n_item") >= support)
+    sets = sets.join(singles.select("item"), "item", "left_semi")
     listed = sets.groupBy("b").agg(F.collect_set("item").alias("own"))
     pairs = listed.select(F.explode("own").alias("item"), "own").select("item", F.explode("own").alias("other")).filter("item <> other")
     counted = pairs.groupBy("item", "other").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= support)
     return counted.join(singles, "item").withColumn("confidence", F.col("n") / F.col("n_item")).filter(F.col("confidence") > confidence)
 
 
+def kind_histogram(sites: DataFrame, kind: str = "subject_kind") -> DataFrame:
+    """How many sites have a subject of each kind, the largest first."""
+    return sites.groupBy(F.coalesce(F.col(kind), F.lit("unresolved")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def resolve_rate(sites: DataFrame, kind: str = "subject_kind") -> DataFrame:
+    """(n, n_resolved, rate): sites whose subject is a literal or a pattern; 0 without sites."""
+    done = F.col(kind).isin("literal", "pattern")
+    counted = sites.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(done, F.lit(False))).alias("n_resolved"))
+    return counted.withColumn("rate", ratio(F.col("n_resolved"), F.col("n"), 0.0))
+
+
+def resolve_rates(sites: DataFrame) -> DataFrame:
+    """(domain, n, rate): how many sites of the domains with a floor name what they mean."""
+    domain = F.when(F.col("domain") == "repositories", "typeorm").when(F.col("domain") == "queues", "bullmq").when(F.col("domain") == "di-modules", "di")
+    counted = sites.filter("error IS NULL").select(domain.alias("domain"), F.col("subject").isNotNull().alias("done")).filter("domain IS NOT NULL")
+    return counted.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("done").cast("int")).alias("rate"))
+
+
 def placement_shares(rows: DataFrame, kind: str, place: str, least_rows: int = 5, share: float = 0.3) -> DataFrame:
     """Places that hold more than a share of a kind's rows: (kind, place, n, total, share). The totals are sums of the counts, not a second pass."""
     counted = rows.groupBy(F.col(kind).alias("kind"), F.col(place).alias("place")).agg(F.count(F.lit(1)).alias("n"))

@@ -4,19 +4,55 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions.names import escape_label
+from loomgraph.operators.search import ranked
 from loomgraph.plans.graph import Graph
 from loomgraph.schema import DOMAINS
+from loomgraph.sources.stores import remove, write_text
 
 LARGE = 200
-# Fixed values of the notation: the outline of a node kind, the arrow of an edge kind, and the colours of styles.
-SHAPES = {"service": ("[", "]"), "lib": ("[[", "]]"), "nats-subject": ("([", "])"), "queue": ("[(", ")]"), "db-table": ("[(", ")]"), "external": ("{{", "}}"), "endpoint": ("[/", "/]"), "cron-schedule": ("((", "))"), "module": ("[", "]"), "fe-page": ("[\\", "\\]")}
-ARROWS = {"nats-request": "-.->", "nats-reply": "-.->", "http-external": "-.->", "db-relation": "---", "lib-usage": "==>", "ts-import": "==>"}
-STYLES = {"service": "#dbeafe", "lib": "#e0e7ff", "nats-subject": "#fef3c7", "queue": "#fde68a", "db-table": "#dcfce7", "external": "#fee2e2", "endpoint": "#fae8ff", "cron-schedule": "#f5f5f4", "module": "#ecfeff"}
+# Fixed values of the notation: node kinds in the order of their groups, with the group's id and title, the style and the outline.
+KINDS = [
+    ("service", "services", "Services", "service", "[", "]"),
+    ("lib", "libs", "Libraries", "lib", "[", "]"),
+    ("module", "modules", "Modules", "module", "{{", "}}"),
+    ("queue", "queues", "Queues", "queue", "([", "])"),
+    ("nats-subject", "nats_subjects", "NATS subjects", "nats", "((", "))"),
+    ("rmq-pattern", "rmq_patterns", "RMQ patterns", "rmq", "((", "))"),
+    ("db-table", "db_tables", "DB tables", "db", "[(", ")]"),
+    ("provider", "providers", "Providers", "module", "{{", "}}"),
+    ("external", "externals", "External hosts", "lib", "[", "]"),
+    ("file", "files", "Files", "file", "[", "]"),
+    ("endpoint", "endpoints", "Endpoints", "endpoint", ">", "]"),
+    ("config-field", "config_fields", "Config fields", "config", "[/", "/]"),
+    ("scoped-marker", "scoped_markers", "Scoped markers", "scoped", "([", "])"),
+    ("db-entity-field", "db_entity_fields", "DB entity fields", "db", "[", "]"),
+    ("fe-page", "fe_pages", "FE pages", "fe", "[", "]"),
+    ("fe-component", "fe_components", "FE components", "fe", "[", "]"),
+    ("fe-route", "fe_routes", "FE routes", "fe", "([", "])"),
+    ("fe-hook", "fe_hooks", "FE hooks", "fe", "[", "]"),
+    ("doc-section", "docs", "Docs", "docs", "[", "]"),
+    ("cron-schedule", "cron_schedules", "Cron schedules", "cron", "([", "])"),
+]
+# The word on an edge's arrow where it isn't the kind itself, and the kinds that are thick or end in a circle; all others are dotted.
+WORDS = {
+    "nats-publish": "publish", "nats-request": "request", "nats-subscribe": "subscribe", "nats-reply": "reply", "rmq-subscribe": "rmq-sub", "http-call": "http", "http-external": "http-ext",
+    "queue-produce": "produce", "queue-consume": "consume", "queue-fails-into": "fails-into", "queue-event-listener": "event-listener", "db-read": "read", "db-write": "write", "db-access": "db", "db-relation": "rel",
+    "di-import": "di", "di-provides": "provides", "di-exports": "exports", "di-controller": "controller", "di-uses": "uses", "di-guard": "guard", "di-interceptor": "interceptor", "di-pipe": "pipe",
+    "ts-import": "import", "lib-usage": "lib", "fe-imports": "fe-import", "fe-renders": "renders", "fe-routes-to": "routes-to", "endpoint-calls": "calls", "config-read-by": "config-read", "entity-has-field": "has-field", "cron-triggers": "triggers",
+}
+ARROWS = {"==>": ("nats-request", "nats-reply", "http-call", "http-external", "endpoint-calls"), "--o": ("db-read", "db-write", "db-access", "db-relation", "entity-has-field")}
+# Fill, stroke and text colour of the styles.
+STYLES = [
+    ("service", "#dbeafe", "#1d4ed8", "#1e3a8a"), ("lib", "#ede9fe", "#6d28d9", "#4c1d95"), ("queue", "#fef3c7", "#b45309", "#78350f"), ("nats", "#dcfce7", "#15803d", "#14532d"),
+    ("rmq", "#ffedd5", "#ea580c", "#7c2d12"), ("db", "#fee2e2", "#b91c1c", "#7f1d1d"), ("module", "#e0f2fe", "#0369a1", "#0c4a6e"), ("file", "#f1f5f9", "#475569", "#0f172a"),
+    ("endpoint", "#fdf4ff", "#a21caf", "#701a75"), ("config", "#fff7ed", "#c2410c", "#7c2d12"), ("scoped", "#ecfdf5", "#059669", "#064e3b"), ("fe", "#fce7f3", "#be185d", "#831843"),
+    ("docs", "#f0fdf4", "#16a34a", "#14532d"), ("cron", "#fef9c3", "#a16207", "#713f12"),
+]
 
 
 def numbered_ids(rows: DataFrame) -> DataFrame:
@@ -35,29 +71,54 @@ def safe_ids(nodes: DataFrame) -> DataFrame:
     return out.join(taken, "safe").select("id", F.when((F.col("uses") > 1) & F.col("collides"), hashed).otherwise(F.col("safe")).alias("safe"), "collides")
 
 
-def _choose(column: str, table: dict[str, str], default: str):
-    return F.coalesce(*[F.when(F.col(column) == k, F.lit(v)) for k, v in table.items()], F.lit(default))
+def arrow(kind: Column) -> Column:
+    """Arrow of an edge kind with its word."""
+    line = F.coalesce(*[F.when(kind.isin(*kinds), F.lit(a)) for a, kinds in ARROWS.items()], F.lit("-.->"))
+    word = F.coalesce(*[F.when(kind == k, F.lit(w)) for k, w in WORDS.items()], kind)
+    return F.concat(line, F.lit("|"), word, F.lit("|"))
 
 
 def mermaid_lines(graph: Graph, cycle_nodes: DataFrame | None = None) -> DataFrame:
-    """(section, nth, line) of a flowchart: nodes by label, then edges by kind and ends, then styles."""
+    """(section, nth, line) of a flowchart: groups of nodes by kind and label, then edges by kind and ends, then styles. ``nth`` runs through all lines."""
+    spark = graph.nodes.sparkSession
     ids = safe_ids(graph.nodes)
-    named = graph.nodes.join(ids, "id")
-    left, right = _choose("kind", {k: a for k, (a, _) in SHAPES.items()}, "["), _choose("kind", {k: b for k, (_, b) in SHAPES.items()}, "]")
-    style = F.concat(F.lit(":::"), F.regexp_replace("kind", "-", "_"))
+    kinds = spark.createDataFrame([(n, *k) for n, k in enumerate(KINDS)], "place int, kind string, group string, title string, style string, before string, after string")
+    named = graph.nodes.join(ids, "id").join(F.broadcast(kinds), "kind")  # as many rows as there are kinds
+    style = F.col("style")
     if cycle_nodes is not None:
         named = named.join(cycle_nodes.select("id", F.lit(True).alias("cyclic")), "id", "left")
-        style = F.when(F.col("cyclic"), F.lit(":::cycle")).otherwise(style)
-    node_lines = named.select(F.lit(1).alias("section"), F.col("label").alias("k1"), F.col("id").alias("k2"), F.lit("").alias("k3"), F.concat(F.lit("  "), "safe", left, F.lit('"'), escape_label(F.coalesce("label", F.col("id"))), F.lit('"'), right, style).alias("line"))
+        style = F.when(F.col("cyclic"), "cycle").otherwise(style)
+    part = lambda df, section, place, step, k1, k2, k3, line: df.select(F.lit(section).alias("section"), place.alias("place"), F.lit(step).alias("step"), k1.alias("k1"), k2.alias("k2"), k3.alias("k3"), line.alias("line"))
+    none = F.lit("")
+    text = F.concat(F.lit("    "), "safe", "before", F.lit('"'), escape_label(F.coalesce("label", F.col("id"))), F.lit('"'), "after", F.lit(":::"), style)
+    node_lines = part(named, 1, F.col("place"), 1, F.coalesce("label", F.col("id")), F.col("id"), none, text)
+    used = kinds.join(graph.nodes.select("kind").distinct(), "kind")
+    opened = part(used, 1, F.col("place"), 0, none, none, none, F.concat(F.lit("  subgraph "), "group", F.lit('["'), "title", F.lit('"]')))
+    closed = part(used, 1, F.col("place"), 2, none, none, none, F.lit("  end"))
     a, b = ids.select(F.col("id").alias("src"), F.col("safe").alias("sa")), ids.select(F.col("id").alias("dst"), F.col("safe").alias("sb"))
     edges = graph.edges.join(a, "src").join(b, "dst")
-    edge_lines = edges.select(F.lit(2).alias("section"), F.col("kind").alias("k1"), F.col("src").alias("k2"), F.col("dst").alias("k3"), F.concat(F.lit("  "), "sa", F.lit(" "), _choose("kind", ARROWS, "-->"), F.lit("|"), "kind", F.lit("| "), "sb").alias("line")).distinct()
-    spark = graph.nodes.sparkSession
-    head = [(0, "", "", "", "flowchart LR")] + [(3, k, "", "", f"  classDef {k.replace('-', '_')} fill:{c}") for k, c in STYLES.items()] + [(3, "~cycle", "", "", "  classDef cycle stroke:#dc2626,stroke-width:3px")]
-    fixed = spark.createDataFrame(head, "section int, k1 string, k2 string, k3 string, line string")
-    # The lines are one text; the order of a section counts within it only.
-    order = F.row_number().over(W.partitionBy("section").orderBy("k1", "k2", "k3", "line"))
-    return node_lines.unionByName(edge_lines).unionByName(fixed).withColumn("nth", order).select("section", "nth", "line")
+    edge_lines = part(edges, 2, F.lit(0), 0, F.col("kind"), F.col("src"), F.col("dst"), F.concat(F.lit("  "), "sa", F.lit(" "), arrow(F.col("kind")), F.lit(" "), "sb")).distinct()
+    head = [(0, 0, 0, "", "", "", "flowchart LR")] + [(3, n, 0, "", "", "", f"  classDef {k} fill:{fill},stroke:{stroke},color:{color};") for n, (k, fill, stroke, color) in enumerate(STYLES)] + [(3, len(STYLES), 0, "", "", "", "  classDef cycle stroke:#dc2626,stroke-width:3px;")]
+    fixed = spark.createDataFrame(head, "section int, place int, step int, k1 string, k2 string, k3 string, line string")
+    every = node_lines.unionByName(opened).unionByName(closed).unionByName(edge_lines).unionByName(fixed)
+    return ranked(every, ["section", "place", "step", "k1", "k2", "k3"], "nth").select("section", "nth", "line")
+
+
+def collisions(nodes: DataFrame) -> DataFrame:
+    """(base, ids): groups of ids whose letters, digits and underscores are alike."""
+    based = nodes.select("id", F.regexp_replace("id", "[^A-Za-z0-9_]", "_").alias("base")).distinct()
+    several = based.groupBy("base").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("base")
+    return based.join(several, "base").groupBy("base").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+
+
+def write_collisions(nodes: DataFrame, path: str) -> bool:
+    """Write the groups as JSON, or remove what an earlier full chart left there if there are none."""
+    found = [{"base": r["base"], "ids": r["ids"]} for r in collisions(nodes).orderBy("base").toLocalIterator()]
+    if not found:
+        remove(nodes.sparkSession, path)
+        return False
+    write_text(nodes.sparkSession, path, json.dumps({"collisions": found}, indent=2) + "\n")
+    return True
 
 
 def mermaid(graph: Graph, cycle_nodes: DataFrame | None = None) -> tuple[str, list[str]]:

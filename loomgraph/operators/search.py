@@ -13,6 +13,8 @@ from loomgraph.sources.tables import materialize
 
 # Fixed values of the ranking.
 K1, B, RRF, TOP_K, MOST_K = 1.2, 0.75, 60, 10, 50
+#: So many result ids are broadcast at most.
+MOST_RESULTS = 100_000
 #: Least score of a model, and of any other.
 FLOORS = {"minilm": 0.30, "e5-base": 0.55}
 TOKEN = "[^a-z0-9а-яё_]+"
@@ -132,6 +134,21 @@ def docs_search(records: DataFrame, vector: Sequence[float], text: str, **option
     return hybrid(records, vector, text, **(options | {"kinds": DOC_KINDS}))
 
 
+def ranks_of_first_hit(results: DataFrame, expected: DataFrame) -> DataFrame:
+    """(query_id, rank): place of the first result of an expected kind with an expected text in its label, by score, ties by id; null if there is none."""
+    ok = F.array_contains("kinds", F.col("kind")) & F.exists("labels", lambda x: F.lower("label").contains(F.lower(x)))
+    joined = expected.select("query_id", "kinds", "labels").join(results.select("query_id", "kind", "label", "score", "node_id"), "query_id", "left")
+    nth = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "node_id"))
+    return joined.withColumn("nth", nth).groupBy("query_id").agg(F.min(F.when(ok, F.col("nth"))).alias("rank"))
+
+
+def with_vectors(results: DataFrame, records: DataFrame) -> DataFrame:
+    """Results (node_id, ...) with their records' vectors, looked up for the few results only."""
+    wanted = results.select("node_id").distinct()
+    vectors = records.select("node_id", "vector").join(F.broadcast(wanted) if wanted.count() <= MOST_RESULTS else wanted, "node_id", "left_semi")
+    return results.join(vectors, "node_id", "left")
+
+
 def hit_rate(results: DataFrame, expected: DataFrame) -> DataFrame:
     """Hits of golden queries by project and category, with subtotals.
 

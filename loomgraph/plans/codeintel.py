@@ -204,7 +204,7 @@ def exceptions(ix: CodeIntel, entry: str) -> DataFrame:
 def message_flow(ix: CodeIntel, graph: Graph, pattern: str) -> list[dict]:
     """Who sends a subject, who handles it, and the calls of each handler."""
     name = F.regexp_replace("subject", "^(nats|rmq|queue):", "")
-    sends, hears = F.col("kind").isin(*SENDERS), F.col("kind").isin(*RECEIVERS, "rmq-handle")
+    sends, hears = F.col("kind").isin(*SENDERS), F.col("kind").isin(*RECEIVERS, "rmq-subscribe")
     edges = graph.edges.filter(sends | hears).withColumn("subject", F.when(sends, F.col("dst")).otherwise(F.col("src")))
     hits = edges.filter(name.contains(pattern) | F.lit(pattern).contains(name)).orderBy("ord").limit(MOST_CALLS)
     out = []
@@ -255,9 +255,13 @@ def diagnostics(ix: CodeIntel, top: int = 10) -> tuple[float, DataFrame]:
     done = F.col("callee_id").isNotNull()
     n = ix.calls.agg(F.count(F.lit(1)).alias("n"), F.count_if(done).alias("done")).first()
     share = round(n["done"] / n["n"], 4) if n["n"] else 0.0
-    nth = F.row_number().over(W.partitionBy("receiver").orderBy("file", "line"))
-    open_ = ix.calls.filter(~done).withColumn("receiver", F.coalesce("receiver", F.lit("(none)"))).withColumn("nth", nth)
-    example = F.when(F.col("nth") <= 5, F.struct("nth", F.concat_ws(":", "file", F.col("line").cast("string")).alias("at")))
+    open_ = ix.calls.filter(~done).withColumn("receiver", F.coalesce("receiver", F.lit("(none)")))
     risk = ix.impacts.groupBy("file").agg(F.max(rank_of(F.col("risk"), RISK_RANK, 0)).alias("risk"))
-    grouped = open_.join(risk, "file", "left").groupBy("receiver").agg(F.count(F.lit(1)).alias("n"), F.transform(F.array_sort(F.collect_list(example)), lambda x: x["at"]).alias("examples"), F.coalesce(F.max("risk"), F.lit(0)).alias("risk"))
-    return share, grouped.orderBy(F.desc("n"), "receiver").limit(top)
+    # Summed by file before the risks are looked up, and cut to the largest groups before any example is.
+    by_file = open_.groupBy("receiver", "file").agg(F.count(F.lit(1)).alias("n"))
+    grouped = by_file.join(risk, "file", "left").groupBy("receiver").agg(F.sum("n").alias("n"), F.coalesce(F.max("risk"), F.lit(0)).alias("risk"))
+    largest = grouped.orderBy(F.desc("n"), "receiver").limit(top)
+    nth = F.row_number().over(W.partitionBy("receiver").orderBy("file", "line"))
+    first = open_.select("receiver", "file", "line").join(largest.select("receiver"), "receiver", "left_semi").withColumn("nth", nth).filter("nth <= 5")
+    examples = first.groupBy("receiver").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.concat_ws(":", "file", F.col("line").cast("string")).alias("at")))), lambda x: x["at"]).alias("examples"))
+    return share, largest.join(examples, "receiver").select("receiver", "n", "examples", "risk").orderBy(F.desc("n"), "receiver")

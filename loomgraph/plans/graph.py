@@ -62,7 +62,7 @@ def publishers(graph: Graph, subject: str) -> Answer:
 
 def subscribers(graph: Graph, subject: str) -> Answer:
     """Edges run from the subject to the owner here."""
-    return _by_subject(graph, subject, (*RECEIVERS, "rmq-handle"), "src", "dst", "receiver")
+    return _by_subject(graph, subject, (*RECEIVERS, "rmq-subscribe"), "src", "dst", "receiver")
 
 
 def _into(graph: Graph, node_id: str, test: Column, role: str) -> Answer:

@@ -387,8 +387,8 @@ def html_regex_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH f AS (SELECT doc_id, source, trim(regexp_replace(lower(trim(split_part(coalesce(text, ''), E'\n', 1))), '[^\p{L}\p{N}\s_-]', '', 'g')) AS raw FROM documents),
-b AS (SELECT doc_id, source, regexp_replace(regexp_replace(regexp_replace(lower(trim(split_part(coalesce(text, ''), E'\n', 1))), '[^\p{L}\p{N}\s_-]', '', 'g'), '[\s_]+', '-', 'g'), '^-+|-+$', '', 'g') AS base FROM f JOIN documents USING (doc_id, source)),
+    r"""WITH f AS (SELECT doc_id, source, regexp_replace(lower(split_part(coalesce(text, ''), E'\n', 1)), '[^\p{L}\p{N} -]', '', 'g') AS kept FROM documents),
+b AS (SELECT doc_id, source, coalesce(nullif(trim(regexp_replace(kept, '[ -]+', '-', 'g'), '-'), ''), 'section') AS base FROM f),
 n AS (SELECT *, row_number() OVER (PARTITION BY source, base ORDER BY doc_id) - 1 AS k FROM b)
 SELECT doc_id, source, CASE WHEN k = 0 THEN base ELSE base || '-' || k END AS slug FROM n"""
 )

@@ -10,7 +10,7 @@ NODE_KINDS = frozenset(
 )
 DOMAINS = {
     "nats": "nats-publish nats-request nats-subscribe nats-reply",
-    "rmq": "rmq-handle",
+    "rmq": "rmq-subscribe",
     "http": "http-call http-external",
     "bullmq": "queue-produce queue-consume queue-fails-into queue-event-listener queue-repeat",
     "typeorm": "db-read db-write db-access db-relation",

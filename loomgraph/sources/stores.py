@@ -95,6 +95,11 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _fs(spark, path)
+    fs.delete(at, True)
+
+
 def read_manifest(spark: SparkSession, path: str) -> dict | None:
     target = f"{path}/manifest.json"
     if not exists(spark, target):
@@ -180,6 +185,8 @@ class Config:
     env_services: dict[str, str] = field(default_factory=dict)
     file_edges: bool = False
     chunk_tokens: int = 100
+    #: Domains that a strict build doesn't ask any ground truth of: false.
+    domains: dict[str, bool] = field(default_factory=dict)
 
 
 def load_config(text: str) -> Config:

@@ -91,7 +91,7 @@ def test_store_round_trip(built, spark, tmp_path):
     assert {r["owner"] for r in G.publishers(again, "orders.placed").rows.collect()} == {"service:api"}
     assert paths.find_path(again, "service:api", "service:worker").found
     text, _ = render.mermaid(G.slice_domain(again, "bullmq"))
-    assert text.startswith("flowchart LR") and "queue_mail[(" in text and "-->|queue-produce|" in text
+    assert text.startswith("flowchart LR") and "queue_mail([" in text and "-.->|produce|" in text and 'subgraph queues["Queues"]' in text
     loader = stores.Reloading(spark, f"{tmp_path}/graph.json")
     n = loader.get().nodes.count()
     (tmp_path / "graph.json").write_text("{ torn")

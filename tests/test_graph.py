@@ -63,7 +63,7 @@ def test_names(spark):
     assert one(names.strip_prefix(lit("queue:a"))) == "a" and one(names.strip_prefix(lit("rmq:a"))) == "rmq:a"
     assert one(names.add_prefix("lib", lit("x"))) == "lib:x" and one(names.add_prefix("lib", lit("lib:x"))) == "lib:x"
     assert one(names.join_path(lit("a/"), lit("/b/"))) == "/a/b" and one(names.join_path(lit(""), lit(""))) == "/"
-    assert one(names.base_slug(lit(" Héllo, World! a_b "))) == "héllo-world-a-b"
+    assert [one(names.base_slug(lit(h))) for h in (" Héllo, World! a_b ", "a - b", "!!!", "Tab\there")] == ["héllo-world-ab", "a-b", "section", "tabhere"]
     assert one(names.snake_case(lit("HTTPServerError"))) == "http_server_error" and one(names.snake_case(lit("CustomerAccount"))) == "customer_account"
     assert one(names.package_name(lit("@a/b/c"))) == "@a/b" and one(names.package_name(lit("lodash/x"))) == "lodash"
     for file, root, want in [("src/pages/index.tsx", "src/pages", "/"), ("pages/blog/[slug].tsx", "pages", "/blog/:slug"), ("pages/_app.tsx", "pages", None), ("pages/api/x.ts", "pages", None), ("app/(shop)/cart/page.tsx", "app", "/cart"), ("app/@modal/page.tsx", "app", None), ("app/layout.tsx", "app", None), ("pages/[...all].tsx", "pages", "/*all"), ("pages/[[...opt]].tsx", "pages", "/*opt?")]:
