@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.llm.store import spare
+
 #: A table of rates of up to so many sources and thresholds (8 bytes each) is broadcast; a larger one is joined by a shuffle.
 BROADCAST_SOURCES, BROADCAST_THRESHOLDS = 10_000, 1 << 20
 #: exp(-rate) is a normal double up to here; a larger rate is parted into equal ones, whose counts are added.
@@ -68,21 +70,22 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, pow
     string; texts aren't looked at. An empty table gives an empty one.
     """
     names = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
+    of, n_parts, cdf, n_copies = spare([*names, "copy", "shuffle_key"], "of_source", "n_parts", "cdf", "n_copies")
     parts = F.greatest(F.ceil(F.col("rate") / MOST_RATE), F.lit(1)).cast("int")
-    rates = source_rates(docs, weights, power, source, size, max_rate).withColumn("__parts", parts)
-    rates = rates.select(F.col("source").alias("__source"), "__parts", _thresholds(F.col("rate") / F.col("__parts")).alias("__cdf"))
+    rates = source_rates(docs, weights, power, source, size, max_rate).withColumn(n_parts, parts)
+    rates = rates.select(F.col("source").alias(of), n_parts, _thresholds(F.col("rate") / F.col(n_parts)).alias(cdf))
     rows = docs.select(*names)
-    held = rates.agg(F.count(F.lit(1)).alias("sources"), F.sum(F.size("__cdf")).alias("thresholds")).first()  # one row
+    held = rates.agg(F.count(F.lit(1)).alias("sources"), F.sum(F.size(cdf)).alias("thresholds")).first()  # one row
     small = held["sources"] <= BROADCAST_SOURCES and (held["thresholds"] or 0) <= BROADCAST_THRESHOLDS
-    joined = rows.join(F.broadcast(rates) if small else rates, rows[source].eqNullSafe(rates["__source"]))
+    joined = rows.join(F.broadcast(rates) if small else rates, rows[source].eqNullSafe(rates[of]))
 
     def count(u: Column) -> Column:
-        return F.size(F.filter(F.col("__cdf"), lambda c: c <= u))
+        return F.size(F.filter(F.col(cdf), lambda c: c <= u))
 
     one = count(uniform(seed, F.col(doc_id)))
-    others = F.aggregate(F.sequence(F.lit(2), F.col("__parts")), F.lit(0), lambda n, k: n + count(uniform(seed, F.col(doc_id), F.lit("part"), k)))
-    copies = F.when(F.col("__parts") > 1, one + others).otherwise(one)
-    repeated = joined.withColumn("__n", copies).filter("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    others = F.aggregate(F.sequence(F.lit(2), F.col(n_parts)), F.lit(0), lambda n, k: n + count(uniform(seed, F.col(doc_id), F.lit("part"), k)))
+    copies = F.when(F.col(n_parts) > 1, one + others).otherwise(one)
+    repeated = joined.withColumn(n_copies, copies).filter(F.col(n_copies) > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(n_copies))))
     keyed = repeated.select(*names, "copy", uniform(seed + 1, F.col(doc_id), F.col("copy")).alias("shuffle_key"))
     # The key is uniform, so a hash of it deals evenly; no sample of the texts is read to find ranges.
     return keyed.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")

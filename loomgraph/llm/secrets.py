@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.llm.store import spare
+
 #: The kinds in their order, with pattern, group whose length counts, and least length.
 #: A run of ``assign`` that is too short still consumes what it covers, so its length is tested after the match;
 #: in the other two a shorter run can hold no longer one, so the length stands in the pattern.
@@ -131,11 +133,12 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     text_col = F.coalesce(docs[text], F.lit(""))
     names = [c for c in docs.columns if c != "spans"]
-    arrays = [_spans(F.col("__t"), p, g, least, i) for i, (_, p, g, least) in enumerate(KINDS)]
-    every = F.array_sort(F.concat(*arrays, _entropy_spans(F.col("__t"))))
+    (whole,) = spare([*names, "spans"], "whole")
+    arrays = [_spans(F.col(whole), p, g, least, i) for i, (_, p, g, least) in enumerate(KINDS)]
+    every = F.array_sort(F.concat(*arrays, _entropy_spans(F.col(whole))))
     kinds = F.array(*[F.lit(k) for k, *_ in KINDS], F.lit("entropy"))
     named = F.transform(every, lambda s: F.struct(F.get(kinds, s["rank"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return docs.select(*[docs[c] for c in names], text_col.alias("__t")).withColumn("spans", named).drop("__t")
+    return docs.select(*[docs[c] for c in names], text_col.alias(whole)).withColumn("spans", named).drop(whole)
 
 
 def _joined(spans: Column) -> Column:

@@ -17,10 +17,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, a temporary one of this machine on a local master, as in tests; a cluster has to name one."""
     found = spark.conf.get("spark.checkpoint.dir", "") or ""
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the whole cluster shares")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
@@ -38,6 +40,28 @@ def spare(taken: Iterable[str], *wanted: str) -> list[str]:
     return out
 
 
+#: Folders of all operator calls, oldest first, until ``clean`` deletes them.
+_made: list[str] = []
+
+
+def mark() -> int:
+    """How many operator calls there have been; ``clean`` deletes what came after a mark."""
+    return len(_made)
+
+
+def clean(spark: SparkSession, since: int = 0, but: Iterable[str] = ()) -> None:
+    """Delete the tables of the operator calls since a mark. To be called once the operators' results, which read some of them, are written."""
+    kept = set(but)
+    for base in [b for b in _made[since:] if b not in kept]:
+        _delete(spark, base)
+    _made[since:] = [b for b in _made[since:] if b in kept]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 class Scratch:
     """Tables of one operator call. ``keep`` writes and rereads, ``drop`` deletes what is no longer read."""
 
@@ -45,6 +69,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
+        _made.append(self.base)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
@@ -56,9 +81,7 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         path = self.paths.pop(id(df), None)
         if path:
-            jvm = self.spark._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+            _delete(self.spark, path)
 
     def release(self) -> None:
         """Let Spark delete shuffle files whose frames are gone; it does so only after a collection on the driver."""

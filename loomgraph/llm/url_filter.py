@@ -19,6 +19,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.llm.store import spare
+
 BITS_PER_KEY = 10
 HASHES = 5
 #: 2 MB of filter words go into a plan at most, all levels of a list together.
@@ -116,7 +118,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
 def split_url(url: Column) -> tuple[Column, Column]:
     """Host and path: see ``judge_urls``."""
     at = F.instr(url, "://")
-    rest = F.when(at > 0, F.expr("substring(__url, instr(__url, '://') + 3)")).otherwise("")
+    rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
     rest = F.coalesce(rest, F.lit(""))
     host = F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
@@ -139,16 +141,17 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]], url: str = "u
     """
     spark = pages.sparkSession
     listed = [(kind, rule if "/" in rule else rule + "/") for kind, rule in rules]
-    names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "__url")]
-    host, path = split_url(F.col("__url"))
-    parts = pages.select(*[pages[c] for c in names], pages[url].alias("__url")).withColumn("host", host).withColumn("path", path).drop("__url")
+    names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    whole, keys = spare([*names, "host", "path", "rule", "verdict"], "whole_url", "keys")
+    host, path = split_url(F.col(whole))
+    parts = pages.select(*[pages[c] for c in names], pages[url].alias(whole)).withColumn("host", host).withColumn("path", path).drop(whole)
     # Keys that a url can ask for: its last k labels for each count k of labels in
     # the list, by the first n characters of its path for each length n in the list.
     shapes = sorted({(rule.split("/", 1)[0].count(".") + 1, len(rule.split("/", 1)[1]) + 1) for _, rule in listed})
     asked = [F.when(F.length("path") >= n, F.concat(F.substring_index("host", ".", -k), F.substring("path", 1, n))) for k, n in shapes]
     asked = F.array_compact(F.array_distinct(F.array(*asked))) if asked else F.array().cast("array<string>")
-    keyed = parts.withColumn("__keys", F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(asked))
-    universe = keyed.select(F.explode("__keys").alias("key"))
+    keyed = parts.withColumn(keys, F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(asked))
+    universe = keyed.select(F.explode(keys).alias("key"))
 
     def held(kind: str) -> DataFrame:
         return spark.createDataFrame([(rule,) for k, rule in listed if k == kind], "key string")
@@ -156,9 +159,9 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]], url: str = "u
     try:
         block, allow = (build_cascade(held(kind), universe) for kind in ("block", "allow"))
     except TooLarge:
-        return _judge_by_join(keyed, held("block"), held("allow"), default)
-    hits = F.filter("__keys", lambda k: block.has(k) | allow.has(k))
-    ruled = keyed.withColumn("rule", _longest(hits)).drop("__keys")
+        return _judge_by_join(keyed, keys, held("block"), held("allow"), default)
+    hits = F.filter(keys, lambda k: block.has(k) | allow.has(k))
+    ruled = keyed.withColumn("rule", _longest(hits)).drop(keys)
     return ruled.withColumn("verdict", F.when(F.col("rule").isNull(), F.lit(default)).when(block.has(F.col("rule")), F.lit("block")).otherwise(F.lit("allow")))
 
 
@@ -166,13 +169,14 @@ def _longest(keys: Column) -> Column:
     return F.array_max(F.transform(keys, lambda k: F.struct(F.length(k).alias("n"), k.alias("key"))))["key"]
 
 
-def _judge_by_join(keyed: DataFrame, block: DataFrame, allow: DataFrame, default: str) -> DataFrame:
+def _judge_by_join(keyed: DataFrame, keys: str, block: DataFrame, allow: DataFrame, default: str) -> DataFrame:
     """The same for lists of any size. Keys are joined once each, then their verdicts once for each distinct set of keys."""
     verdicts = block.select("key", F.lit("block").alias("v")).union(allow.select("key", F.lit("allow").alias("v"))).groupBy("key").agg(F.max("v").alias("v"))
-    sets = keyed.select(F.col("__keys").alias("ks")).distinct()
-    found = sets.select("ks", F.explode("ks").alias("key")).join(verdicts, "key").groupBy("ks").agg(F.max(F.struct(F.length("key").alias("n"), "key", "v")).alias("best"))
-    out = keyed.join(found, keyed["__keys"] == found["ks"], "left")
-    return out.withColumn("rule", F.col("best.key")).withColumn("verdict", F.coalesce("best.v", F.lit(default))).drop("__keys", "ks", "best")
+    ks, best = spare([*keyed.columns, "rule", "verdict"], "ks", "best")
+    sets = keyed.select(F.col(keys).alias(ks)).distinct()
+    found = sets.select(ks, F.explode(ks).alias("key")).join(verdicts, "key").groupBy(ks).agg(F.max(F.struct(F.length("key").alias("n"), "key", "v")).alias(best))
+    out = keyed.join(found, keyed[keys] == found[ks], "left")
+    return out.withColumn("rule", F.col(f"{best}.key")).withColumn("verdict", F.coalesce(f"{best}.v", F.lit(default))).drop(keys, ks, best)
 
 
 #: The rules of the registered query.

@@ -2,13 +2,14 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 from collections import Counter
 
 import pytest
 
-from loomgraph.llm import mixing, secrets, url_filter
+from loomgraph.llm import line_dedup, mixing, secrets, url_filter
 
 RULES = url_filter.RULES
 
@@ -154,3 +155,30 @@ def test_mixing_reaches_the_share_of_small_sources(spark):
         assert abs(sum(n for (_, t), n in got.items() if t == s) - w * 20_000) < 6 * math.sqrt(w * 20_000)
     assert all(got[i, "mid"] == poisson(int(hashlib.md5(f"17:{i}".encode()).hexdigest()[:13], 16) / 2**52, rates["mid"]) for i in range(20))
     assert max(r["rate"] for r in mixing.source_rates(docs, weights, max_rate=50.0).collect()) == 50
+
+
+def test_clashing_columns(spark):
+    """Columns that are named like the operators' own ones are passed on as they are."""
+    rows = [(1, "password = abcdefghijkl0", "s", "w", 7)]
+    own = ["whole", "of_source", "cdf", "n_copies"]
+    for name in own:
+        frame = spark.createDataFrame(rows, f"doc_id long, text string, source string, {name} string, n_parts int")
+        assert secrets.find_secrets(frame).first()[name] == "w"
+        assert all(r[name] == "w" and r["n_parts"] == 7 for r in mixing.mix_sources(frame, size=3.0).collect())
+    pages = spark.createDataFrame([(1, "http://a.net/x", "u", "k", "b")], "page_id long, url string, whole_url string, keys string, best string")
+    got = url_filter.judge_urls(pages, RULES).first()
+    assert (got["whole_url"], got["keys"], got["best"], got["verdict"]) == ("u", "k", "b", "block")
+    frame = spark.createDataFrame([(1, "a b c\na b c", "i", "t", "s", "l")], "doc_id long, text string, id string, th string, stay string, lines string")
+    got = line_dedup.dedup_lines(frame).first()
+    assert (got["text"], got["id"], got["th"], got["stay"], got["lines"]) == ("a b c", "i", "t", "s", "l")
+
+
+def test_scratch_is_deleted(spark, tmp_path):
+    from loomgraph.llm import store
+
+    since = store.mark()
+    kept = store.Scratch(spark, "t").keep(spark.range(3).toDF("id"), "x")
+    path = kept.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    store.clean(spark, since)
+    assert not os.path.exists(path) and store.mark() == since
