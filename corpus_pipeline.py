@@ -3,7 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all that the
 stage before it kept. All but the last return the columns of ``documents``. Rows are
 told apart by doc_id and their text, so rows that repeat both share one fate; every stage
-takes null ids, null and empty texts, and empty tables as its operator does.
+takes null ids, null and empty texts, and empty tables as its operator does: null and empty
+texts are scored, have no lines to lose, are linked with nothing, have no word that could be
+hit, and are repeated like any other; a null id is one id, the last in every order; ties go
+to the smaller id; further columns are passed on as they are.
 """
 
 from __future__ import annotations
@@ -16,13 +19,14 @@ from loomgraph.llm.line_dedup import dedup_lines
 from loomgraph.llm.mixing import mix_sources
 from loomgraph.llm.near_dedup import near_duplicates
 from loomgraph.llm.quality import score_quality
-from loomgraph.llm.store import Scratch
+from loomgraph.llm.store import Scratch, clean, mark, spare
 
 
 def _without(docs: DataFrame, bad_ids: DataFrame) -> DataFrame:
     """Documents whose doc_id isn't among ``bad_ids``."""
-    bad = bad_ids.select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__bad")), "left_anti").select(*docs.columns)
+    (name,) = spare(docs.columns, "bad_id")
+    bad = bad_ids.select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[name]), "left_anti").select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,6 +72,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        since = mark()
         before, docs = docs, scratch.keep(stage(spark, docs, sf_dir), name)
         scratch.drop(before)
+        clean(spark, since)
     return STAGES[-1][1](spark, docs, sf_dir)
