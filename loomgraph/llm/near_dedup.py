@@ -6,22 +6,17 @@
    sequence; nodes that share the first ``ROOT`` values stand in one region. A region
    of up to ``LEAF`` nodes proposes all its pairs. A larger one proposes for each node
    its next ones in order, which share the longest prefixes with it, and is split by one
-   value more, and so on as deep as it is dense: the parts propose the leader for each
-   node, and all their pairs once they have ``SMALL`` nodes.
+   value more, and so on as deep as it is dense: the parts propose for each node their
+   leader, the node whose sketch agrees with most others', as an original's does with its
+   copies', and all their pairs once they have ``SMALL`` nodes.
 3. Proposed pairs whose sketches can't reach the threshold fall out. The others are
    verified on full sets, each pair once, by units of up to ``UNIT`` nodes, so that a
    set travels once a unit and not once a pair.
-4. Components of the verified links. Nodes of regions that were too large for all
-   their pairs are then sorted in ``MORE`` further orders of their signature values, and
-   what these propose between different components is verified as well. A link at the
-   threshold shares a whole sequence in an order with probability 0.27, so all 56 orders
-   separate it with probability 2e-8; work stays linear in the region's size. An order
-   doesn't propose all pairs of a part that ties in all its values, as the copies around one
-   original do; these are left to the next step.
-5. Regions that still hold several components are searched exactly: each node outside the
-   region's largest component is held against all others by the rarest shingles of both,
-   of which two texts at the threshold must share one, and what meets is compared on full
-   sets. A pair is compared in the first of the regions that it shares.
+4. Components of the verified links.
+5. Regions that were too large for all their pairs and hold several components are searched
+   exactly: each node outside the region's largest component is held against all others by the
+   rarest shingles of both, of which two texts at the threshold must share one, and what meets
+   is compared on full sets. A pair is compared in the first of the regions that it shares.
 """
 
 from __future__ import annotations
@@ -40,7 +35,6 @@ from loomgraph.llm.store import Scratch
 #: A pair at similarity 0.85 shares no root in any tree with probability (1 - 0.85^3)^14 = 2e-6.
 TREES, DEPTH, ROOT = 14, 8, 3
 LEAF, SMALL, UNIT, NEXT = 24, 8, 256, 3
-MORE = 42
 #: Rows of one region held at a time.
 HELD = 1 << 16
 #: Step 5 holds so many nodes at a time, and runs so many others of a region by them in one task.
@@ -75,15 +69,16 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Region:
     """Nodes of one tree that share the first ROOT values, sorted by the rest of their sequence."""
 
-    def __init__(self, tree: int, root: bytes, node: np.ndarray, n: np.ndarray, rest: np.ndarray, sketch: np.ndarray, component: np.ndarray, least: float) -> None:
-        self.tree, self.root, self.node, self.n, self.rest, self.sketch, self.component, self.least = tree, root, node, n, rest, sketch, component, least
+    def __init__(self, tree: int, root: bytes, node: np.ndarray, n: np.ndarray, rest: np.ndarray, sketch: np.ndarray, least: float) -> None:
+        self.tree, self.root, self.node, self.n, self.rest, self.sketch, self.least = tree, root, node, n, rest, sketch, least
+        self.leader = 0
         self.found: list[tuple[np.ndarray, np.ndarray, int]] = []
         self.units = 0
 
     def propose(self, i: np.ndarray, j: np.ndarray) -> None:
         """Pairs of one unit that the sketches and sizes allow."""
         small, big = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
-        ok = (small >= self.least * big - 1e-9) & (self.component[i] != self.component[j])
+        ok = (small >= self.least * big - 1e-9) & (self.node[i] != self.node[j])
         i, j = i[ok], j[ok]
         if len(i):
             ok = possible(self.sketch[i], self.sketch[j], self.least)
@@ -100,22 +95,32 @@ class _Region:
             own = np.arange(at, min(size, at + UNIT - NEXT))
             near = [own[own + step < size] for step in range(1, NEXT + 1)]
             self.propose(np.concatenate(near), np.concatenate([x + step for step, x in enumerate(near, 1)]))
-        stack = [(0, size, 0, True)]
+        self.leader = medoid(self.sketch)
+        stack = [(0, size, 0, -1)]
         while stack:
-            lo, hi, depth, new_leader = stack.pop()
+            lo, hi, depth, known = stack.pop()
             if hi - lo <= SMALL:
                 i, j = np.triu_indices(hi - lo, 1)
                 self.propose(lo + i, lo + j)
                 continue
-            if new_leader:
-                for at in range(lo + 1, hi, UNIT - 1):
-                    own = np.arange(at, min(hi, at + UNIT - 1))
-                    self.propose(np.full(len(own), lo), own)
+            leader = lo + medoid(self.sketch[lo:hi]) if depth else self.leader
+            if leader != known:
+                others = np.delete(np.arange(lo, hi), leader - lo)
+                for at in range(0, len(others), UNIT - 1):
+                    own = others[at : at + UNIT - 1]
+                    self.propose(np.full(len(own), leader), own)
             if depth < DEPTH - ROOT:
                 cuts = np.flatnonzero(np.diff(self.rest[lo:hi, depth].astype(np.int64))) + 1
                 for a, b in zip([0, *cuts], [*cuts, hi - lo], strict=True):
                     if b - a > 1:
-                        stack.append((lo + a, lo + b, depth + 1, a > 0))
+                        stack.append((lo + a, lo + b, depth + 1, leader))
+
+
+def medoid(sketch: np.ndarray) -> int:
+    """The first of the rows that agree in most fields with the most frequent value of each field."""
+    counts = np.stack([[((sketch >> s) & 3 == v).sum(axis=0) for v in range(4)] for s in (0, 2, 4, 6)])
+    usual = counts.argmax(axis=1).astype(np.uint8)
+    return int(_ZERO_FIELDS[sketch ^ (usual[0] | usual[1] << 2 | usual[2] << 4 | usual[3] << 6)].sum(axis=1).argmax())
 
 
 def possible(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
@@ -129,12 +134,14 @@ def _proposer(least: float):
     """What turns sorted rows of regions into pairs (a, b, unit); a node of a large region is also paired with itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, parts, held = None, [], 0
+        key, parts, held, leader = None, [], 0, None
 
         def flush() -> pa.RecordBatch | None:
-            node, n, rest, sketch, component = (np.concatenate(x) for x in zip(*parts, strict=True))
-            region = _Region(key[0], key[1], node, n, rest, sketch, component, least)
+            nonlocal leader
+            node, n, rest, sketch = (np.concatenate(x) for x in zip(*parts, strict=True))
+            region = _Region(key[0], key[1], node, n, rest, sketch, least)
             region.split()
+            leader = tuple(x[region.leader : region.leader + 1] for x in (node, n, rest, sketch))
             if len(node) > LEAF or held_no:
                 region.found.append((np.arange(len(node)), np.arange(len(node)), 0))
             if not region.found:
@@ -154,7 +161,7 @@ def _proposer(least: float):
             tree, root = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             node, n = batch.column(3).to_numpy(), batch.column(4).to_numpy()
             rest = np.frombuffer(b"".join(batch.column(2).to_pylist()), ">u4").reshape(len(tree), -1)
-            sketch, component = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(len(tree), -1), batch.column(6).to_numpy()
+            sketch = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(len(tree), -1)
             cuts = [0, *(i for i in range(1, len(root)) if root[i] != root[i - 1] or tree[i] != tree[i - 1]), len(root)]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 new = (int(tree[lo]), root[lo])
@@ -163,9 +170,9 @@ def _proposer(least: float):
                         yield out
                     held_no = held_no + 1 if new == key else 0
                     # The leader of a region that is cut goes on to its next part.
-                    parts = [tuple(x[:1] for x in parts[0])] if new == key else []
+                    parts = [leader] if new == key else []
                     key, held = new, 0
-                parts.append((node[lo:hi], n[lo:hi], rest[lo:hi], sketch[lo:hi], component[lo:hi]))
+                parts.append((node[lo:hi], n[lo:hi], rest[lo:hi], sketch[lo:hi]))
                 held += hi - lo
         if parts and (out := flush()):
             yield out
@@ -228,24 +235,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return texts.hint("merge").join(sent, "node").select("unit", "node", "text", "others").repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(_verifier(percent), "a long, b long")
 
 
-_REGIONS = "tree int, root binary, rest binary, node long, n_shingles int, sketch binary, component long"
-
-
-def _more_orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each node's row in MORE further orders: DEPTH values of its signature, drawn without repetition."""
-    random = np.random.default_rng(47)
-    orders = [random.permutation(TREES * DEPTH)[:DEPTH] for _ in range(MORE)]
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sig = np.frombuffer(b"".join(batch.column("trees").to_pylist()), ">u4").reshape(batch.num_rows, -1)
-        rest = [batch.column(c) for c in ("node", "n_shingles", "sketch", "component")]
-        for tree, order in enumerate(orders):
-            own = np.ascontiguousarray(sig[:, order])
-            root, tail = (pa.array([x.tobytes() for x in part], pa.binary()) for part in (own[:, :ROOT], own[:, ROOT:]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), tree, np.int32)), root, tail, *rest], ["tree", "root", "rest", "node", "n_shingles", "sketch", "component"])
-
-
 def _proposed(regions: DataFrame, least: float) -> DataFrame:
     return regions.repartition("tree", "root").sortWithinPartitions("tree", "root", "rest", "node").mapInArrow(_proposer(least), "a long, b long, unit long")
 
@@ -388,7 +377,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return F.substring(F.col("trees"), tree * (4 * DEPTH) + 4 * lo + 1, F.lit(4 * (hi - lo)))
 
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    regions = nodes.select(tree, "*").select("tree", values(F.col("tree"), 0, ROOT).alias("root"), values(F.col("tree"), ROOT, DEPTH).alias("rest"), "node", F.col("n_shingles").cast("int"), "sketch", F.col("node").alias("component"))
+    regions = nodes.select(tree, "*").select("tree", values(F.col("tree"), 0, ROOT).alias("root"), values(F.col("tree"), ROOT, DEPTH).alias("rest"), "node", F.col("n_shingles").cast("int"), "sketch")
     proposed = scratch.keep(_proposed(regions, percent / 100), "proposed")
     # Texts of the nodes that any pair needs are sorted out once, and by a shuffle at any size.
     asked = proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -399,14 +388,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     known = connected_components(links, scratch, "first")
     dense = proposed.filter("a = b").select(F.col("a").alias("node")).distinct()
     if not dense.isEmpty():
-        rows_again = nodes.join(dense, "node", "left_semi").join(known, "node", "left").select("node", F.col("n_shingles").cast("int"), "sketch", "trees", F.coalesce("component", "node").alias("component"))
-        again = scratch.keep(_once(_proposed(rows_again.mapInArrow(_more_orders, _REGIONS), percent / 100)), "again")
-        if not again.isEmpty():
-            links = links.union(scratch.keep(_verified(again, texts, percent), "more-links"))
-            known = connected_components(links, scratch, "second")
         rest = _rest(scratch, nodes, dense, known, texts, values, percent)
         if rest is not None and not rest.isEmpty():
-            known = connected_components(links.union(rest), scratch, "third")
+            known = connected_components(links.union(rest), scratch, "second")
     for done in (proposed, texts):
         scratch.drop(done)
     # The smallest doc_id of every component of more than one node.

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +107,34 @@ def test_near_duplicates_star(spark):
     assert {r["component_id"] for r in got} == {0} and len(got) == 1200
 
 
+def star_batches(size, centre, batch):
+    """Sorted rows of one region whose nodes tie in all values and are alike to one of them only."""
+    r = np.random.default_rng(5)
+    own = r.integers(0, 4, (near_dedup.SKETCH, 4))
+    fields = np.where(r.random((size, near_dedup.SKETCH, 4)) < 0.12, r.integers(0, 4, (size, near_dedup.SKETCH, 4)), own)
+    fields[centre] = own
+    sketch = (fields[:, :, 0] | fields[:, :, 1] << 2 | fields[:, :, 2] << 4 | fields[:, :, 3] << 6).astype(np.uint8)
+    for lo in range(0, size, batch):
+        n = min(batch, size - lo)
+        yield pa.record_batch([pa.array(np.zeros(n, np.int32)), pa.array([bytes(12)] * n), pa.array([bytes(20)] * n), pa.array(np.arange(lo, lo + n)), pa.array(np.full(n, 100, np.int32)), pa.array([x.tobytes() for x in sketch[lo : lo + n]])], ["tree", "root", "rest", "node", "n_shingles", "sketch"])
+
+
+def test_leader_of_a_region():
+    """All nodes of a dense region are held against the one most are alike to, with a few proposals a node."""
+    pairs = {(a, b) for x in near_dedup._proposer(0.85)(star_batches(3000, 1700, 500)) for a, b in zip(x["a"].to_pylist(), x["b"].to_pylist(), strict=True) if a != b}
+    assert {min(a, b) if max(a, b) == 1700 else max(a, b) for a, b in pairs if 1700 in (a, b)} == set(range(3000)) - {1700}
+    assert len(pairs) <= 3000 * (near_dedup.NEXT + 1)
+
+
+def test_leaders_of_a_region_in_pieces(monkeypatch):
+    """A region that is held piece by piece: a piece's leader stands in the next one too."""
+    monkeypatch.setattr(near_dedup, "HELD", 60)
+    found = list(near_dedup._proposer(0.5)(star_batches(400, 170, 30)))
+    assert len(found) > 3
+    nodes = [{n for c in ("a", "b") for n in x[c].to_pylist()} for x in found]
+    assert set.union(*nodes) == set(range(400)) and all(a & b for a, b in zip(nodes[:-1], nodes[1:], strict=True))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 50)] + [(100, i) for i in range(101, 150)] + [(7, 7), (300, 200), (200, 300)]
     got = connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()
