@@ -52,28 +52,33 @@ def knn(records: DataFrame, query: Sequence[float], k: int = TOP_K, least: float
     return scored.orderBy(F.desc("score"), "ord").limit(min(k, MOST_K))
 
 
-def bm25(records: DataFrame, query: Sequence[str], text: Column, key: str = "ord") -> DataFrame:
-    """(key, bm25) of the records that hold a query word. The corpus is the records given; a word that the query repeats counts again.
+def _bm25_scored(records: DataFrame, query: Sequence[str], text: Column, key: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(key, *keep, bm25) of all records, 0 where none of the query words is.
 
     Only query words leave the scan: each record yields its length and its counts of those
     words, so what is shuffled is three sums a word, not the corpus's words. Texts are read
     once: the counts are written, and both the sums and the scores start from them.
     """
     words = sorted(set(query))
-    own = records.select(F.col(key).alias("key"), tokens(F.coalesce(text, F.lit(""))).alias("t"))
-    own = own.select("key", F.size("t").alias("len"), (F.filter("t", lambda x: x.isin(*words)) if words else F.col("t")).alias("t"))
+    own = records.select(F.col(key).alias("key"), *keep, tokens(F.coalesce(text, F.lit(""))).alias("t"))
+    own = own.select("key", *keep, F.size("t").alias("len"), (F.filter("t", lambda x: x.isin(*words)) if words else F.col("t")).alias("t"))
     count = lambda w: F.size(F.filter("t", lambda x: x == w))
-    counted = materialize(own.select("key", "len", *[count(w).alias(f"tf{i}") for i, w in enumerate(words)]))
-    sums = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))])
+    counted = materialize(own.select("key", *keep, "len", *[count(w).alias(f"tf{i}") for i, w in enumerate(words)]))
     if not words:
-        return counted.select("key", F.lit(0.0).alias("bm25")).limit(0)
+        return counted.select("key", *keep, F.lit(0.0).alias("bm25"))
+    sums = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))])
     score = F.lit(0.0)
     for i, w in enumerate(words):
         tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
         idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
         score = score + F.lit(float(query.count(w))) * F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))).otherwise(0.0)
     # One row of sums: its size doesn't grow with the corpus.
-    return counted.join(F.broadcast(sums)).select("key", score.alias("bm25")).filter("bm25 > 0")
+    return counted.join(F.broadcast(sums)).select("key", *keep, score.alias("bm25"))
+
+
+def bm25(records: DataFrame, query: Sequence[str], text: Column, key: str = "ord") -> DataFrame:
+    """(key, bm25) of the records that hold a query word. The corpus is the records given; a word that the query repeats counts again."""
+    return _bm25_scored(records, query, text, key).filter("bm25 > 0")
 
 
 def hybrid(
@@ -92,21 +97,24 @@ def hybrid(
     if kinds is not None:
         own = own.filter(F.col("kind").isin(*kinds))
     own = own.filter(~F.col("kind").isin(*exclude) & (F.col("cosine") >= least)) if exclude else own.filter(F.col("cosine") >= least)
-    lexical = bm25(own, query_tokens(text), F.concat_ws(" ", "kind", "label", "path", "snippet"))
-    lexical = lexical.join(own.select(F.col("ord").alias("key"), "cosine"), "key")
+    # Texts and vectors are read here, and again only for the results; what is ranked are a few narrow columns.
+    scored = _bm25_scored(own, query_tokens(text), F.concat_ws(" ", "kind", "label", "path", "snippet"), "ord", ("node_id", "kind", "cosine"))
     # Ranks need a total order. Sorted ranges count their rows, and offsets of ranges are added: no task gets all rows.
-    dense = ranked(own.select("ord", "cosine"), [F.desc("cosine"), F.col("ord")], "dense")
-    lex = ranked(lexical, [F.desc("bm25"), F.desc("cosine"), F.col("key")], "lexical").select(F.col("key").alias("ord"), "bm25", "lexical")
-    both = own.join(dense.select("ord", "dense"), "ord").join(lex, "ord", "left")
+    dense = ranked(scored, [F.desc("cosine"), F.col("key")], "dense")
+    lex = ranked(dense.filter("bm25 > 0").select("key", "cosine", "bm25"), [F.desc("bm25"), F.desc("cosine"), F.col("key")], "lexical").select("key", "lexical")
+    both = dense.join(lex, "key", "left").withColumn("bm25", F.when(F.col("bm25") > 0, F.col("bm25")))
     boost = F.coalesce(*[F.when(F.col("kind") == kind, F.lit(float(b))) for kind, b in (boosts or {}).items()], F.lit(1.0))
     score = (F.lit(1.0) / (RRF + F.col("dense")) + F.coalesce(F.lit(1.0) / (RRF + F.col("lexical")), F.lit(0.0))) * boost
-    scored = both.withColumn("score", score)
+    fused = both.withColumn("score", score)
     order = [F.desc("score"), F.desc("cosine"), F.col("node_id")]
     if quotas:
         nth = F.row_number().over(W.partitionBy("kind").orderBy(*order))
         quota = F.coalesce(*[F.when(F.col("kind") == kind, F.lit(int(q))) for kind, q in quotas.items()], F.lit(MOST_K))
-        scored = scored.withColumn("nth", nth).filter(F.col("nth") <= quota).drop("nth")
-    return scored.orderBy(*order).limit(min(k, MOST_K))
+        # No kind has a later row among the results; a fixed limit acts before the shuffle, so a kind isn't sorted whole in one task.
+        fused = fused.withColumn("nth", nth).filter((F.col("nth") <= MOST_K) & (F.col("nth") <= quota)).drop("nth")
+    best = fused.orderBy(*order).limit(min(k, MOST_K))
+    texts = records.drop("node_id", "kind", "vector").join(F.broadcast(best.withColumnRenamed("key", "ord")), "ord")
+    return texts.select("node_id", "kind", *[c for c in records.columns if c not in ("node_id", "kind", "vector")], "cosine", "dense", "bm25", "lexical", "score").orderBy(*order)
 
 
 def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
