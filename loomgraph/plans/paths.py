@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.plans.graph import Graph
 from loomgraph.schema import CYCLE_KINDS
-from loomgraph.sources.tables import materialize
+from loomgraph.sources.tables import Growing, materialize
 
 
 @dataclass
@@ -32,17 +32,18 @@ def bfs_levels(edges: DataFrame, start: str, target: str | None = None, max_dept
     spark = edges.sparkSession
     hop = edges.select("src", "dst", "kind", F.col("ord").alias("edge_ord"))
     empty = "node string, depth int, rank long, parent string, edge_ord long, kind string"
-    seen = frontier = materialize(spark.createDataFrame([(start, 0, 0, None, None, None)], empty))
+    levels = Growing(spark.createDataFrame([(start, 0, 0, None, None, None)], empty))
+    frontier = seen = levels.all()
     for depth in range(1, max_depth + 1):
         reached = hop.join(frontier.select(F.col("node").alias("src"), "rank"), "src")
         best = reached.groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("rank", "edge_ord", "src", "kind")).alias("by"))
         new = best.join(seen.select("node"), "node", "left_anti")
         # A sort deals the level to ranges in order, so the numbers it hands out keep that order.
         ordered = new.orderBy("by.rank", "by.edge_ord", "node").select("node", F.lit(depth).alias("depth"), F.monotonically_increasing_id().alias("rank"), F.col("by.src").alias("parent"), F.col("by.edge_ord").alias("edge_ord"), F.col("by.kind").alias("kind"))
-        frontier = materialize(ordered)
+        frontier = levels.add(ordered)
         if frontier.isEmpty():
             break
-        seen = materialize(seen.unionByName(frontier))
+        seen = levels.all()
         if target is not None and not frontier.filter(F.col("node") == target).isEmpty():
             break
     return seen
@@ -124,20 +125,20 @@ def cycles(edges: DataFrame, kinds: tuple[str, ...] = CYCLE_KINDS, max_length: i
     hop = edges.filter(F.col("kind").isin(*kinds)).select("kind", "src", "dst").distinct()
     loops = hop.filter("src = dst").select("kind", F.array("src").alias("nodes"))
     hop = trimmed(hop.filter("src <> dst"))
-    found = materialize(loops)
+    found = Growing(loops)
     paths = materialize(hop.filter("dst > src").select("kind", F.array("src", "dst").alias("nodes")))
     for _ in range(max_length):
         n = paths.count()
         if n == 0:
-            return found, None
+            return found.all(), None
         if n > max_rows:
-            return found, f"gave up at {n} open paths"
+            return found.all(), f"gave up at {n} open paths"
         step = paths.withColumn("src", F.element_at("nodes", -1)).join(hop, ["kind", "src"])
         closed = step.filter(F.col("dst") == F.col("nodes")[0]).select("kind", "nodes")
-        found = materialize(found.unionByName(closed))
+        found.add(closed)
         open_ = step.filter((F.col("dst") > F.col("nodes")[0]) & ~F.array_contains("nodes", F.col("dst")))
         paths = materialize(open_.select("kind", F.concat("nodes", F.array("dst")).alias("nodes")))
-    return found, (f"gave up at length {max_length}" if not paths.isEmpty() else None)
+    return found.all(), (f"gave up at length {max_length}" if not paths.isEmpty() else None)
 
 
 def cycles_with_places(graph: Graph) -> tuple[DataFrame, str | None]:

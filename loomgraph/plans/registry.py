@@ -158,7 +158,13 @@ def _at_rest(graph: G.Graph) -> G.Graph:
     return G.Graph(graph.nodes.select("id"), materialize(graph.edges.select("src", "dst", "kind", "ord")))
 
 
-@query()
+@query(
+    "WITH RECURSIVE" + TRADE + """, walk AS (
+  SELECT 'customer:1' AS node, 0 AS depth, []::STRUCT(ord BIGINT, node VARCHAR)[] AS ords, []::STRUCT(src VARCHAR, dst VARCHAR, kind VARCHAR)[] AS hops
+  UNION ALL SELECT e.dst, w.depth + 1, list_append(w.ords, {'ord': e.ord, 'node': e.dst}), list_append(w.hops, {'src': e.src, 'dst': e.dst, 'kind': e.kind}) FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < 5
+), best AS (SELECT hops FROM walk WHERE node = 'supplier:1' ORDER BY depth, ords LIMIT 1)
+SELECT (i - 1)::INTEGER AS hop, hops[i].src AS src, hops[i].dst AS dst, hops[i].kind AS kind FROM (SELECT hops, unnest(range(1, len(hops) + 1)) AS i FROM best)"""
+)
 def bfs_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hops of the shortest path from a customer to a region, with ties by the order in which edges were seen."""
     graph = _at_rest(projection.trade_graph(spark, sf_dir))
@@ -421,7 +427,14 @@ def route_derivation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.groupBy(names.route_of(F.col("path")).alias("route")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(
+    r"""WITH RECURSIVE lines AS (SELECT doc_id::VARCHAR AS file, unnest(string_split(coalesce(text, ''), chr(10))) AS t, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+parts AS (SELECT file, t, row_number() OVER (PARTITION BY file ORDER BY i) AS i, len(regexp_extract_all(t, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS n FROM lines WHERE regexp_matches(t, '\S')),
+walk AS (
+  SELECT file, i, 0 AS chunk, n AS used, n, length(t) AS chars FROM parts WHERE i = 1
+  UNION ALL SELECT p.file, p.i, w.chunk + CASE WHEN w.used + p.n <= 100 THEN 0 ELSE 1 END, CASE WHEN w.used + p.n <= 100 THEN w.used + p.n ELSE p.n END, p.n, length(p.t) FROM walk w JOIN parts p ON p.file = w.file AND p.i = w.i + 1
+) SELECT file, chunk::INTEGER AS chunk_index, sum(n)::INTEGER AS token_count, (sum(chars) + 2 * (count(*) - 1))::INTEGER AS char_count FROM walk GROUP BY file, chunk"""
+)
 def chunk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs packed greedily into chunks of a hundred tokens."""
     from loomgraph.operators.docs import pack_documents
@@ -547,7 +560,9 @@ def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_markdown(docs).select("file", "heading_level", "start_line", "end_line", "chunk_index", "chunk_of", "token_count", "char_count")
 
 
-@query()
+@query(
+    """SELECT doc_id::VARCHAR AS node_id, sha256(lang || '|' || source || '|' || source || ' ' || lang || CASE WHEN length(text) > 0 THEN chr(10) || text ELSE '' END || '|hashing') AS content_hash, 256 AS dim FROM documents"""
+)
 def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search records of all documents, embedded offline."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("kind"), F.col("source").alias("label"), F.lit("").alias("path"), F.col("text").alias("snippet"), F.col("doc_id").alias("ord"))
