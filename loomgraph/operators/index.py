@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from loomgraph.operators.search import query_tokens
 
 SCHEMA_VERSION, DIM = 2, 256
+#: Texts that an embedder is given at a time, and that are skipped together.
+BATCH = 32
 #: Node kinds without source text of their own.
 VIRTUAL = ("service", "lib", "nats-subject", "rmq-pattern", "queue", "external", "db-table")
 
@@ -45,6 +47,35 @@ def hashing_embedder(dim: int = DIM) -> Callable[[Iterator[pd.Series]], Iterator
     return run
 
 
+def _by_batches(embed: Callable, skip: bool) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
+    """The embedder fed with BATCH texts at a time. Where it fails, the batch's vectors are null, or the error is raised; the next batch starts it anew."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        feed: list[pd.Series] = []
+
+        def waiting() -> Iterator[pd.Series]:
+            while feed:
+                yield feed.pop()
+
+        worker = embed(waiting())
+        for texts in batches:
+            done = []
+            for at in range(0, len(texts), BATCH):
+                part = texts.iloc[at : at + BATCH].reset_index(drop=True)
+                feed.append(part)
+                try:
+                    done.append(next(worker))
+                except Exception:
+                    if not skip:
+                        raise
+                    feed.clear()
+                    done.append(pd.Series([None] * len(part), dtype=object))
+                    worker = embed(waiting())
+            yield pd.concat(done, ignore_index=True) if done else pd.Series([], dtype=object)
+
+    return run
+
+
 def split_changes(current: DataFrame, prior: DataFrame) -> DataFrame:
     """Every node_id of either side with its state: reused, recompute or deleted. Both have node_id and content_hash."""
     a, b = current.select("node_id", F.col("content_hash").alias("new")), prior.select("node_id", F.col("content_hash").alias("old"))
@@ -52,19 +83,26 @@ def split_changes(current: DataFrame, prior: DataFrame) -> DataFrame:
     return a.join(b, "node_id", "full").select("node_id", state.alias("state"))
 
 
-def build_index(nodes: DataFrame, prior: DataFrame | None, model: str, embed: Callable | None = None, floor_error: str = "skip") -> DataFrame:
-    """Records of all nodes: vectors of unchanged ones are taken over, others embedded in Arrow batches."""
+def build_index(nodes: DataFrame, prior: DataFrame | None, model: str, embed: Callable | None = None, on_error: str = "skip") -> DataFrame:
+    """Records of all nodes: vectors of unchanged ones are taken over, others embedded in Arrow batches.
+
+    Nodes of a batch that the embedder fails on have no record, so the next build tries them again; ``on_error="raise"`` ends the job instead.
+    """
     own = nodes.withColumn("embed_text", embed_text(nodes))
     own = own.withColumn("content_hash", content_hash(F.col("kind"), F.col("label"), F.col("embed_text"), model))
-    run = F.pandas_udf(embed or hashing_embedder(), "array<float>")
+    # Not deterministic as far as Spark may know: the filter below must not embed a second time.
+    run = F.pandas_udf(_by_batches(embed or hashing_embedder(), on_error == "skip"), "array<float>").asNondeterministic()
     snippet = F.col("snippet") if "snippet" in nodes.columns else F.lit("")
     columns = [F.col("id").alias("node_id"), "kind", "label", "path", snippet.alias("snippet"), "content_hash"]
+
+    def embedded(rows: DataFrame) -> DataFrame:
+        return rows.select(*columns, run("embed_text").alias("vector"), "ord").filter("vector IS NOT NULL")
+
     if prior is None:
-        return own.select(*columns, run("embed_text").alias("vector"), "ord")
+        return embedded(own)
     old = prior.select(F.col("node_id").alias("id"), "content_hash", F.col("vector").alias("known"))
     kept = own.join(old, ["id", "content_hash"], "inner").select(*columns, F.col("known").alias("vector"), "ord")
-    new = own.join(old.select("id", "content_hash"), ["id", "content_hash"], "left_anti").select(*columns, run("embed_text").alias("vector"), "ord")
-    return kept.unionByName(new)
+    return kept.unionByName(embedded(own.join(old.select("id", "content_hash"), ["id", "content_hash"], "left_anti")))
 
 
 def snippet_expected(kind: Column, path: Column) -> Column:

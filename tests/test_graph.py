@@ -168,3 +168,13 @@ def test_router():
 def test_golden_questions(net):
     found = router.golden_questions(net.edges, 5)
     assert 0 < len(found) <= 5 and found == router.golden_questions(net.edges, 5)
+
+
+def test_growing_table(spark):
+    from loomgraph.sources.tables import Growing
+
+    table = Growing(spark.createDataFrame([(1, "a")], "n int, t string"))
+    part = table.add(spark.createDataFrame([("b", 2)], "t string, n int"))
+    assert [tuple(r) for r in part.collect()] == [(2, "b")]
+    table.add(part.limit(0))
+    assert sorted(tuple(r) for r in table.all().collect()) == [(1, "a"), (2, "b")]

@@ -84,6 +84,26 @@ def test_index(spark):
     assert index.check_manifest(None)[0] == "missing" and index.check_manifest(good, "n")[0].startswith("corrupt")
 
 
+def test_a_failed_batch_is_skipped(spark):
+    def embed(batches):
+        for texts in batches:
+            if texts.str.contains("bad").any():
+                raise RuntimeError("model")
+            yield texts.map(lambda t: [1.0])
+
+    rows = [(str(i), "service", "bad" if i == 40 else "good", "p", i) for i in range(100)]
+    nodes = spark.createDataFrame(rows, "id string, kind string, label string, path string, ord long").coalesce(1)
+    got = {int(r["node_id"]) for r in index.build_index(nodes, None, "m", embed).collect()}
+    assert got == set(range(100)) - set(range(32, 64))
+    with pytest.raises(Exception, match="model"):
+        index.build_index(nodes, None, "m", embed, on_error="raise").collect()
+
+
+def test_quotas_are_limits_by_kind(records):
+    plan = search.hybrid(records, [1, 0, 0, 0], "order", least=0.0, quotas={"service": 1})._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
 def test_multiset_match_is_symmetric(spark):
     a = spark.createDataFrame([("f", 1, 0), ("f", 1, 1), ("f", 2, 2), (None, 3, 3)], "file string, line int, ord int")
     b = spark.createDataFrame([("f", 1, 0), ("f", 4, 1), (None, 3, 2), (None, 3, 3)], "file string, line int, ord int")
