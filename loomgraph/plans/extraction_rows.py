@@ -53,7 +53,8 @@ LEAD = "// @Cron('no') client.emit('no')\n"
 
 
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    """A file a part. The parts are few bytes in few partitions and the texts are long to scan, so parts are dealt to all cores before they become texts."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(4 * spark.sparkContext.defaultParallelism)
     text = F.concat(F.repeat(F.lit(LEAD), (F.col("p_size") % 5).cast("int")), F.replace(F.lit(SOURCE), F.lit("{p}"), F.col("p_partkey").cast("string")))
     return part.select(F.format_string("apps/a/p%d.ts", "p_partkey").alias("file"), text.alias("text"))
 
