@@ -19,7 +19,7 @@ def _least(run, times=7):
     return min(took)
 
 
-@pytest.mark.parametrize("domain", ["columns", "symbols", "calls", "branches"])
+@pytest.mark.parametrize("domain", ["columns", "symbols", "calls", "branches", "config"])
 def test_a_scan_costs_a_few_passes_over_the_text(domain):
     """In units of one pass by character in Python; before, a scan took 25 (config) to 35 (calls) of them, now 3 to 10."""
     texts = [extraction_rows.LEAD * (p % 5) + extraction_rows.SOURCE.replace("{p}", str(p)) for p in range(40)]
