@@ -19,7 +19,7 @@ def _least(run, times=7):
     return min(took)
 
 
-@pytest.mark.parametrize("domain", ["columns", "symbols", "calls", "branches", "config"])
+@pytest.mark.parametrize("domain", ["columns", "symbols", "calls", "branches", "config", "nats"])
 def test_a_scan_costs_a_few_passes_over_the_text(domain):
     """In units of one pass by character in Python; before, a scan took 25 (config) to 35 (calls) of them, now 3 to 10."""
     texts = [extraction_rows.LEAD * (p % 5) + extraction_rows.SOURCE.replace("{p}", str(p)) for p in range(40)]
@@ -27,6 +27,13 @@ def test_a_scan_costs_a_few_passes_over_the_text(domain):
     assert scan < 18 * _least(lambda: [[c for c in t if c != "~"] for t in texts])
 
 
+def test_client_names_as_a_pattern_finds_them():
+    text = "x1: ClientProxy, a1b ?: NatsConnection, éc\n!\n:\tClientNats, ClientProxy$: ClientNats, 1_d: ClientProxyX, e?? : ClientProxy, f: ClientProxy: ClientNats"
+    assert extract.client_names(text) == {"x1", "a1b", "c", "ClientProxy$", "f"}
+    long = "a" * 200_000
+    assert extract.client_names(f"{long} {long}: ClientProxy") == {long}
+
+
 def test_scanning_by_patterns_keeps_odd_brackets_strings_and_comments():
     assert extract.strip_comments("a /*/ b */ c '/*' // d\n\"//\" `\n// e` /* f\ng") == "a          c '/*'     \n\"//\" `\n// e`     \n "
     assert extract.balanced("([)]{'}'})x", 0) == 11 and extract.balanced("(]' (", 0) == 5 and extract.balanced("({[]})", 1) == 5
