@@ -4,7 +4,7 @@ import time
 
 import pytest
 
-from loomgraph.operators import extract
+from loomgraph.operators import extract, truth
 from loomgraph.plans import extraction_rows
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +42,14 @@ def test_scanning_by_patterns_keeps_odd_brackets_strings_and_comments():
 
 def test_files_are_dealt_to_all_cores(spark):
     assert extraction_rows.source_files(spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_domain_recall_scans_each_file_once(spark):
+    plan = extraction_rows.domain_recall(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert sum("MapIn" in line and line.lstrip(" :+-")[0] != "(" for line in plan.split("\n")) == 1
+
+
+def test_sites_by_role_counts_a_module_once_and_repeated_files_each_time(spark):
+    files = spark.createDataFrame([("a.ts", "@Module({imports: [A, B]}) class M {}\nfetch('/x')")] * 2, "file string, text string")
+    found = truth.sites_by_role(extract.extract(files, ["di-modules", "http"])).groupBy("domain").count().collect()
+    assert {r["domain"]: r["count"] for r in found} == {"di": 1, "http": 2}
