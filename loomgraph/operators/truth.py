@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +31,29 @@ PATTERNS = {
     ("fe", "hook"): r"\b(?:function|const)\s+use[A-Z]\w*\s*[(=]",
 }
 
+#: A match of each pattern holds one of these.
+WORDS = {
+    ("nats", "receiver"): ("@MessagePattern", "@EventPattern"),
+    ("nats", "sender"): (".send", ".emit", ".publish", ".request"),
+    ("rmq", "receiver"): ("@RabbitSubscribe", "@RabbitRPC", "@RmqHandler"),
+    ("typeorm", "access"): ("@InjectRepository",),
+    ("typeorm", "entity"): ("@Entity",),
+    ("bullmq", "produce"): ("@InjectQueue",),
+    ("bullmq", "consume"): ("@Processor",),
+    ("bullmq", "register"): ("BullModule.registerQueue",),
+    ("cron", "cron"): ("@Cron",),
+    ("cron", "interval"): ("@Interval",),
+    ("cron", "timeout"): ("@Timeout",),
+    ("di", "module"): ("@Module",),
+    ("http", "call"): ("axios", "fetch", "httpService"),
+    ("imports", "static"): ("from",),
+    ("endpoint", "handler"): ("@Get", "@Post", "@Put", "@Patch", "@Delete", "@All", "@Options", "@Head", "@Sse"),
+    ("config", "read"): ("process.env", "onfig"),
+    ("entity-fields", "column"): ("Column",),
+    ("fe", "component"): ("function", "const"),
+    ("fe", "hook"): ("function", "const"),
+}
+
 
 def truth(files: DataFrame, domains: list[str] | None = None) -> DataFrame:
     """(domain, role, file, line, matched_text) of (file, text), comments left out; a match that repeats on a line counts each time."""
@@ -36,7 +62,9 @@ def truth(files: DataFrame, domains: list[str] | None = None) -> DataFrame:
     bare = F.regexp_replace(kept, r"(?m)(^|[^:'\"`])//[^\n]*", "$1")
     lines = files.select("file", F.posexplode(F.split(bare, "\n")).alias("n", "content"))
     wanted = {k: p for k, p in PATTERNS.items() if domains is None or k[0] in domains}
-    each = F.explode(F.array(*[F.struct(F.lit(d).alias("domain"), F.lit(r).alias("role"), F.regexp_extract_all("content", F.lit(p), F.lit(0)).alias("hits")) for (d, r), p in wanted.items()]))
+    # Few lines hold a pattern's fixed words; only those are matched.
+    hits = lambda key, p: F.when(reduce(or_, [F.col("content").contains(w) for w in WORDS[key]]), F.regexp_extract_all("content", F.lit(p), F.lit(0)))
+    each = F.explode(F.array(*[F.struct(F.lit(k[0]).alias("domain"), F.lit(k[1]).alias("role"), hits(k, p).alias("hits")) for k, p in wanted.items()]))
     found = lines.select("file", (F.col("n") + 1).alias("line"), each.alias("x")).filter(F.size("x.hits") > 0)
     return found.select("x.domain", "x.role", "file", "line", F.explode("x.hits").alias("matched_text"))
 

@@ -1,5 +1,6 @@
 """The queries of the extraction: what a file costs, how files are dealt, and that each is scanned once."""
 
+import re
 import time
 
 import pytest
@@ -53,3 +54,17 @@ def test_sites_by_role_counts_a_module_once_and_repeated_files_each_time(spark):
     files = spark.createDataFrame([("a.ts", "@Module({imports: [A, B]}) class M {}\nfetch('/x')")] * 2, "file string, text string")
     found = truth.sites_by_role(extract.extract(files, ["di-modules", "http"])).groupBy("domain").count().collect()
     assert {r["domain"]: r["count"] for r in found} == {"di": 1, "http": 2}
+
+
+def test_every_pattern_of_the_truth_has_words_that_its_matches_hold(spark):
+    """Each pattern in all its spellings, on lines of its own: as many matches as the patterns find without a look at the words."""
+    text = "\n".join([
+        "@MessagePattern ('a')", "@EventPattern('a')", "this.natsBus.publish<A>('x'); aClientB.request ('y')", "client.send('a'); client.emit('a')", "@RabbitSubscribe({})", "@RabbitRPC({})", "@RmqHandler()", "@InjectRepository(A)", "@Entity ('a')",
+        "@InjectQueue('a')", "@Processor('a')", "BullModule.registerQueueAsync({})", "BullModule.registerQueue({})", "@Cron('a')", "@Interval(1)", "@Timeout(1)", "@Module({})", "axios ('a'); fetch<A>('b'); httpService.get('c')", "export * from \"a\"",
+        *[f"@{v}('a')" for v in ("Get", "Post", "Put", "Patch", "Delete", "All", "Options", "Head", "Sse")], "process.env['A'] + process.env.B", "appConfig.get('a'); config.getOrThrow<A>('b')",
+        *[f"@{v}()" for v in ("Column", "PrimaryColumn", "PrimaryGeneratedColumn", "CreateDateColumn", "UpdateDateColumn", "DeleteDateColumn")], "function Card<A>() {}", "const useX = 1; function useY() {}",
+    ])
+    want = sorted((d, r, n, m[0]) for n, line in enumerate(text.split("\n"), 1) for (d, r), p in truth.PATTERNS.items() for m in re.finditer(p, line))
+    assert {x[:2] for x in want} == set(truth.PATTERNS) == set(truth.WORDS)
+    found = truth.truth(spark.createDataFrame([("a.ts", text)], "file string, text string"))
+    assert sorted((r["domain"], r["role"], r["line"], r["matched_text"]) for r in found.collect()) == want
