@@ -37,7 +37,7 @@ def test_client_names_as_a_pattern_finds_them():
 
 def test_scanning_by_patterns_keeps_odd_brackets_strings_and_comments():
     assert extract.strip_comments("a /*/ b */ c '/*' // d\n\"//\" `\n// e` /* f\ng") == "a          c '/*'     \n\"//\" `\n// e`     \n "
-    assert extract.balanced("([)]{'}'})x", 0) == 11 and extract.balanced("(]' (", 0) == 5 and extract.balanced("({[]})", 1) == 5
+    assert extract.balanced("([)]{'}'})x", 0) == 10 and extract.balanced("(]' (", 0) == 5 and extract.balanced("({[]})", 1) == 5
     assert extract.split_args("a, ')', [b, c], 'd") == ["a", "')'", "[b, c]", "'d"] and extract.split_args(" ") == [] and extract.split_args("a,") == ["a", ""]
 
 
