@@ -11,6 +11,9 @@
    part are split into variants.
 3. The deleted words are compared away: what is left of the line and of the earliest
    line with that key must be equal.
+
+Most parts, lines and variants have no partner; a filter of bounded size keeps them out of
+the joins' exchanges (``thin``), and whole texts are sent for the rebuilding only.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.llm.store import Scratch, spare
+from loomgraph.llm.thin import thin
 
 #: Lines of fewer words always stay; lines of fewer than NEAR_WORDS words are compared exactly only.
 LEAST_WORDS, NEAR_WORDS = 3, 8
@@ -103,20 +107,20 @@ def _near(scratch: Scratch, rows: DataFrame, first: DataFrame) -> DataFrame:
     shared = scratch.keep(parts.groupBy("k").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).filter("x <> y").select("k"), "shared")
     scratch.release()
     # Range partitions are in order, and so are these numbers.
-    some = scratch.keep(parts.join(shared, "k", "left_semi").select("id", "th", "line_no").distinct(), "some")
+    some = scratch.keep(thin(parts, ["k"], shared, shared.count()).join(shared, "k", "left_semi").select("id", "th", "line_no").distinct(), "some")
     scratch.drop(shared)
     scratch.release()
     refs = scratch.keep(some.orderBy("id", "th", "line_no").withColumn("rank", F.monotonically_increasing_id()), "refs")
     scratch.drop(some)
-    # A text is sent once for all its lines; rows that repeat it bring the same ones.
-    of_text = refs.groupBy("id", "th").agg(F.collect_list(F.struct("line_no", "rank")).alias("refs"))
-    texts = rows.hint("merge").join(of_text, ["id", "th"]).dropDuplicates(["id", "th"]).withColumn("lines", F.split("text", "\n"))
-    ranked = texts.select(F.explode(F.transform("refs", lambda r: F.struct(r["rank"].alias("rank"), F.get("lines", r["line_no"]).alias("line")))).alias("r"))
-    ranked = scratch.keep(ranked.select("r.rank", _line_words(F.col("r.line")).alias("w")), "ranked")
+    # Only the lines asked for are sent, not their texts; rows that repeat a text bring the same ones.
+    place = ["id", "th", "line_no"]
+    lines = rows.select("id", "th", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = thin(lines, place, refs, refs.count()).dropDuplicates(place)
+    ranked = scratch.keep(lines.join(refs, place).select("rank", _line_words(F.col("line")).alias("w")), "ranked")
     scratch.release()
     # A variant's key is an exclusive or over the words left of a hash of the word and its place
     # there, so all variants of a line come from running ones, in time linear in the line.
-    word = ranked.select("rank", F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
+    word = ranked.repartition("rank").select("rank", F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
     word = word.select("rank", "n", "i", F.xxhash64("word", "i").alias("here"), F.xxhash64("word", F.col("i") - 1).alias("left"))
     line = W.partitionBy("rank")
     order = line.orderBy("i")
@@ -129,17 +133,18 @@ def _near(scratch: Scratch, rows: DataFrame, first: DataFrame) -> DataFrame:
     least = every.groupBy("k").agg(F.min("rank").alias("to"), F.max("rank").alias("most"), F.min_by("i", "rank").alias("to_i")).filter("`to` < most").select("k", "to", "to_i")
     least = scratch.keep(least, "least")
     scratch.release()
-    ties = scratch.keep(every.join(least, "k").filter(F.col("rank") > F.col("to")).groupBy("rank", "to").agg(F.min(F.struct("i", "to_i")).alias("at")), "ties")
+    ties = scratch.keep(thin(every, ["k"], least, least.count()).join(least, "k").filter(F.col("rank") > F.col("to")).groupBy("rank", "to").agg(F.min(F.struct("i", "to_i")).alias("at")), "ties")
     scratch.drop(every)
     scratch.drop(least)
     scratch.release()
-    other = ranked.select(F.col("rank").alias("to"), F.col("w").alias("to_w"))
+    tied = thin(ranked, ["rank"], ties.select("rank").union(ties.select("to")), 2 * ties.count())
+    other = tied.select(F.col("rank").alias("to"), F.col("w").alias("to_w"))
 
     def left(w: Column, i: Column) -> Column:
         return F.when(i < 0, w).otherwise(F.concat(F.slice(w, 1, F.greatest(i, F.lit(0))), F.slice(w, i + 2, F.size(w))))
 
     same = left(F.col("w"), F.col("at.i")) == left(F.col("to_w"), F.col("at.to_i"))
-    found = scratch.keep(ties.join(ranked, "rank").join(other, "to").filter(same).select("rank").distinct().join(refs, "rank").select("id", "th", "line_no"), "later")
+    found = scratch.keep(ties.join(tied, "rank").join(other, "to").filter(same).select("rank").distinct().join(refs, "rank").select("id", "th", "line_no"), "later")
     for done in (ties, ranked, refs):
         scratch.drop(done)
     scratch.release()

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontaminate, kernels, line_dedup, near_dedup, paragraph_dedup, suffix_dedup
+from loomgraph.llm import decontaminate, kernels, line_dedup, near_dedup, paragraph_dedup, suffix_dedup, thin
 from loomgraph.llm.components import connected_components
 from loomgraph.llm.store import Scratch
 
@@ -208,6 +208,56 @@ def test_lines_with_two_places(spark):
     assert sum(r["n_removed"] for r in got) == 20  # the line of 8 words with one left out is too short for the near comparison
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written for shuffles."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store = spark.sparkContext._jsc.sc().statusStore()
+    doubles = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = store.stageList(None, False, False, doubles, None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_lines_send_texts_once(spark, tmp_path):
+    """Whole texts are sent for the rebuilding only; of lines with a shared part only themselves, though every text has one of them."""
+    noise = random.Random(9)
+
+    def fresh(n):
+        return " ".join(f"{noise.getrandbits(48):x}" for _ in range(n))
+
+    pool = [fresh(12) for _ in range(40)]
+    rows = [(i, "\n".join([fresh(400), edited(pool[i % 40], 1), fresh(400)])) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "docs"))
+    frame = spark.read.parquet(str(tmp_path / "docs"))
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    before = shuffled(spark)
+    frame.repartition(4, "doc_id").write.format("noop").mode("overwrite").save()
+    once = shuffled(spark) - before
+    try:
+        got = line_dedup.dedup_lines(frame).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    sent = shuffled(spark) - before - once
+    assert {r["doc_id"]: (r["text"], r["n_removed"]) for r in got} == dedup_plain(rows)
+    assert once > 2_000_000 and sent < 1.5 * once
+
+
+def test_thin(spark, monkeypatch):
+    """No key that is held is lost, however full the filter is; with room for it, few others pass."""
+    rows = spark.range(40_000).selectExpr("id", "CAST(id % 7 AS INT) AS other", "'x' AS words", "1 AS block")
+    held = spark.range(0, 40_000, 20).selectExpr("id", "CAST(id % 7 AS INT) AS other")
+    want = {(i, i % 7) for i in range(0, 40_000, 20)}
+    for most in (thin.MAX_BLOCKS, 8, 1):
+        monkeypatch.setattr(thin, "MAX_BLOCKS", most)
+        out = thin.thin(rows, ["id", "other"], held, 2000)
+        assert out.columns == rows.columns
+        got = [(r["id"], r["other"]) for r in out.collect()]
+        assert len(got) == len(set(got)) and want <= set(got)
+        if most > 8:
+            assert len(got) < len(want) + 0.05 * 38_000
+    assert thin.thin(rows, ["id"], held.limit(0), 0).count() == 0
+
+
 def covered(rows, length):
     data = [(i, (t or "").encode()) for i, t in rows]
     seen = {}
